@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomlog.llm import decontaminate, mixing, near_dedup, sharding, toxicity
+from loomlog.llm import decontaminate, fingerprints, line_dedup, mixing, near_dedup, sharding, substring_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,7 +15,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_toxicity_fm": toxicity.query,
         "op4_simhash_decontamination": decontaminate.query,
         "op5_systematic_mixing": mixing.query,
+        "op6_patience_line_dedup": line_dedup.query,
+        "op7_seed_extend_dedup": substring_dedup.query,
         "op8_lsh_forest_near_dedup": near_dedup.query,
+        "op9_multiset_hash": fingerprints.query,
     }
 
 
