@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomlog.llm import decontaminate, fingerprints, line_dedup, mixing, near_dedup, sharding, substring_dedup, toxicity
+from loomlog.llm import chat_format, decontaminate, fingerprints, line_dedup, mixing, near_dedup, quality, sharding, substring_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_hilbert_sharding": sharding.query,
+        "op2_fingerprint_chat_format": chat_format.query,
         "op3_toxicity_fm": toxicity.query,
         "op4_simhash_decontamination": decontaminate.query,
         "op5_systematic_mixing": mixing.query,
@@ -19,8 +20,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_seed_extend_dedup": substring_dedup.query,
         "op8_lsh_forest_near_dedup": near_dedup.query,
         "op9_multiset_hash": fingerprints.query,
+        "op10_hierarchical_quality": quality.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_systematic_mixing": mixing.SQL}
+    return {"op2_fingerprint_chat_format": chat_format.SQL, "op5_systematic_mixing": mixing.SQL}
