@@ -71,8 +71,12 @@ def stage(docs: DataFrame, seed: int = 0) -> DataFrame:
     sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
     taken = copies(sized, seed).groupBy("doc_id", "source", "size").agg(F.max("copies").alias("_copies"))
     taken = taken.where("_copies > 0").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), "_copies")
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (n_words(F.col("text")) == F.col("_n"))
-    return docs.join(taken, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    names = docs.columns
+    key = {"_doc": F.col("doc_id"), "_source": F.col("source"), "_size": n_words(F.col("text"))}
+    rows = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), *(v.alias(k) for k, v in key.items()))
+    same = F.col("_doc").eqNullSafe(F.col("_d")) & F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n"))
+    mixed = rows.join(taken, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    return mixed.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -128,9 +128,10 @@ def stage(docs: DataFrame, shards: int = 8) -> DataFrame:
     """docs with place and shard.
 
     Only metadata is sorted: the first row of each shard is the whole of what assigns the others, so no text moves.
-    Rows alike in all metadata and text stay together.
+    Rows alike in all metadata and text stay together.  Columns place and shard that docs has already are replaced.
     """
-    small = measured(docs)
+    docs = docs.drop("place", "shard")
+    names, small = docs.columns, measured(docs)
     firsts = assign(small, DIMS, shards).where("slot = 0").select("shard", "place", *small.columns).orderBy("shard").collect()
     shard = F.lit(0)
     for r in firsts[1:]:
@@ -141,8 +142,9 @@ def stage(docs: DataFrame, shards: int = 8) -> DataFrame:
             above = F.coalesce(mine > value, (mine.isNull() & value.isNotNull()) if last else (mine.isNotNull() & value.isNull()))
             after = above | (mine.eqNullSafe(value) & after)
         shard = shard + after.cast("int")
-    own = placed(docs.select(*docs.columns, *(v.alias(f"_{c}") for c, v in _measures().items())), [f"_{c}" for c in DIMS])
-    return own.withColumn("_place", F.col("place")).withColumn("shard", shard.cast("int")).select(*docs.columns, "place", "shard")
+    numbered = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), *(v.alias(f"_{c}") for c, v in _measures().items()))
+    own = placed(numbered, [f"_{c}" for c in DIMS]).withColumnRenamed("place", "_place").withColumn("_shard", shard.cast("int"))
+    return own.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), F.col("_place").alias("place"), F.col("_shard").alias("shard"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
