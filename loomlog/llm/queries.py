@@ -25,4 +25,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_fingerprint_chat_format": chat_format.SQL, "op5_systematic_mixing": mixing.SQL}
+    return {
+        "op2_fingerprint_chat_format": chat_format.SQL,
+        "op5_systematic_mixing": mixing.SQL,
+        "op7_seed_extend_dedup": substring_dedup.SQL,
+        "op8_lsh_forest_near_dedup": near_dedup.SQL,
+    }
