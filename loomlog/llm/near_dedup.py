@@ -5,11 +5,12 @@ A document's set is that of its distinct k-word shingles (A-Z lower-cased); docu
 never paired.  Each of `TREES` sorted orders sorts the nodes by its own sequence of DEPTH minhashes; a node's candidates
 are the `NEAR` nodes before and after it that share a prefix of LEAST values at least.  Neighbours in a sorted order are those with
 the longest common prefix, so the depth adapts: in a dense region they agree deep into the sequence, in a sparse one
-LEAST values are enough.  A pair at similarity 0.8 misses a prefix of 3 in all 16 trees with probability 1e-5.
+LEAST values are enough.  A pair at similarity 0.8 misses a prefix of 3 in all 16 trees with probability 1e-5; in a
+dense region, where many nodes are about as near, a lone link just above the threshold can still be missed.
 
 Candidates are verified on full sets: first each node's best candidate, then all candidates that join
 different components so far (a candidate within one component can't change a result), then, for pairs still apart,
-each end against the hub of the other's component.
+each end against the hub of the other's component, until that links nothing new.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from loomlog.llm.common import LOWER, U64, Words, cut, mix, runs, shuffle_partitions, signed, slices
 from loomlog.llm.components import components
 
-TREES, DEPTH, LEAST, NEAR = 16, 6, 3, 6
+TREES, DEPTH, LEAST, NEAR = 16, 6, 3, 3
 _FACTORS = np.random.Generator(np.random.PCG64(42)).integers(1, 1 << 63, TREES * DEPTH, dtype=np.uint64) * U64(2) + U64(1)
 
 
@@ -159,15 +160,23 @@ def classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     nodes = cut(nodes)
     pairs = cut(candidates(nodes.select(F.col("node").alias("doc_id"), "sig")))
     ends = pairs.select("x", "y", "weight", F.col("x").alias("at")).union(pairs.select("x", "y", "weight", F.col("y").alias("at")))
-    best = ends.groupBy("at").agg(F.max_by(F.struct("x", "y"), F.struct("weight", -F.col("x"), -F.col("y"))).alias("p")).select("p.x", "p.y").distinct()
-    links = cut(verified(best, docs, k, percent))
+    asked = ends.groupBy("at").agg(F.max_by(F.struct("x", "y"), F.struct("weight", -F.col("x"), -F.col("y"))).alias("p")).select("p.x", "p.y").distinct()
+    seen = asked = cut(asked)
+    links = cut(verified(asked, docs, k, percent))
     label = components(links.select(F.col("x").alias("u"), F.col("y").alias("v")))
-    for ask in (lambda apart: apart.select("x", "y"), lambda apart: _hubs(apart, links, label)):
+    ask, hubs = lambda apart: apart.select("x", "y"), False
+    while True:
         pairs = cut(_apart(pairs, label))
-        asked = cut(ask(pairs).join(links, ["x", "y"], "left_anti").join(best, ["x", "y"], "left_anti"))
-        if not asked.isEmpty():
-            links = cut(links.union(verified(asked, docs, k, percent)))
+        asked = cut(ask(pairs).join(seen, ["x", "y"], "left_anti"))
+        new = cut(verified(asked, docs, k, percent))
+        if new.isEmpty():
+            if hubs:
+                break
+        else:
+            links = cut(links.union(new))
             label = components(links.select(F.col("x").alias("u"), F.col("y").alias("v")))
+        seen, hubs = seen.union(asked), True
+        ask = lambda apart: _hubs(apart, links, label)
     named = nodes.join(label, "node", "left").select("h1", "h2", "n", F.coalesce("label", "node").alias("c"))
     return sig.join(named, ["h1", "h2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))
 
