@@ -5,12 +5,14 @@ A document's set is that of its distinct k-word shingles (A-Z lower-cased); docu
 never paired.  Each of `TREES` sorted orders sorts the nodes by its own sequence of DEPTH minhashes; a node's candidates
 are the `NEAR` nodes before and after it that share a prefix of LEAST values at least.  Neighbours in a sorted order are those with
 the longest common prefix, so the depth adapts: in a dense region they agree deep into the sequence, in a sparse one
-LEAST values are enough.  A pair at similarity 0.8 misses a prefix of 3 in all 16 trees with probability 1e-5; in a
-dense region, where many nodes are about as near, a lone link just above the threshold can still be missed.
+LEAST values are enough.  A pair at similarity 0.8 misses a prefix of 3 in all 16 trees with probability 1e-5.
+
+Where more than NEAR + 1 nodes share such a prefix, neighbours alone can miss a link.  The nodes of such runs, joined over
+all trees, are families; within a family all links between different components are found exactly (see completed()).
 
 Candidates are verified on full sets: first each node's best candidate, then all candidates that join
 different components so far (a candidate within one component can't change a result), then, for pairs still apart,
-each end against the hub of the other's component, until that links nothing new.
+each end against the hub of the other's component, until that links nothing new, then the families.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlog.llm.common import LOWER, U64, Words, cut, mix, runs, shuffle_partitions, signed, slices
+from loomlog.llm.common import LOWER, U64, Words, cut, list_array, mix, runs, shuffle_partitions, signed, slices
 from loomlog.llm.components import components
 
 TREES, DEPTH, LEAST, NEAR = 16, 6, 3, 3
@@ -82,8 +84,15 @@ def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of rows at most NEAR apart in a sorted partition that share a tree and a prefix of LEAST values."""
-    width = 4 * DEPTH
+    """Pairs of rows at most NEAR apart in a sorted partition that share a tree and a prefix of LEAST values.
+
+    Besides, with common 0, a chain through each run of more than NEAR + 1 rows that share such a prefix.
+    """
+    width, far = 4 * DEPTH, NEAR + 1
+
+    def pairs(a: np.ndarray, b: np.ndarray, common: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(common.astype(np.int32))], ["x", "y", "common"])
+
     ids, keys = np.zeros(0, np.int64), np.zeros((0, width + 1), np.uint8)
     for batch in batches:
         if not batch.num_rows:
@@ -92,22 +101,32 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         old = len(ids)
         ids, keys = np.concatenate([ids, batch.column(0).to_numpy()]), np.concatenate([keys, new])
         values = np.ascontiguousarray(keys[:, 1:]).view(np.uint32)
-        for j in range(1, NEAR + 1):
+        for j in range(1, far + 1):
             if len(ids) > j:
                 same = np.concatenate([keys[j:, :1] == keys[:-j, :1], values[j:] == values[:-j]], 1)
                 common = np.logical_and.accumulate(same, 1).sum(1) - 1
-                at = np.flatnonzero((common >= LEAST) & (ids[j:] != ids[:-j]))
-                at = at[at + j >= old]  # the others were seen with the batch before
-                a, b = ids[at], ids[at + j]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(common[at].astype(np.int32))], ["x", "y", "common"])
-        ids, keys = ids[-NEAR:], keys[-NEAR:]
+                long = common >= LEAST
+                if j < far:
+                    at = np.flatnonzero(long & (ids[j:] != ids[:-j]))
+                    at = at[at + j >= old]  # the others were seen with the batch before
+                    yield pairs(ids[at], ids[at + j], common[at])
+                else:
+                    before = np.concatenate([[False], long[:-1]])
+                    fresh = np.arange(len(long)) + far >= old
+                    starts = np.flatnonzero(long & ~before & fresh)
+                    at = np.concatenate([np.flatnonzero(long & fresh) + NEAR, *(starts + i for i in range(NEAR))])
+                    yield pairs(ids[at], ids[at + 1], np.zeros(len(at)))
+        ids, keys = ids[-far - 1 :], keys[-far - 1 :]
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
-    """x < y, weight (sum of common prefixes) of neighbouring nodes.  nodes: doc_id, sig."""
+    """x < y, weight (sum of common prefixes) of neighbouring nodes, dense (linked by a run of more than NEAR + 1).  nodes: doc_id, sig.
+
+    Ranges end between prefixes of LEAST values, so that no run is cut.
+    """
     n = shuffle_partitions(nodes.sparkSession)
-    forest = nodes.select("doc_id", "sig").mapInArrow(_orders, "doc_id long, key binary").repartitionByRange(n, "key", "doc_id").sortWithinPartitions("key", "doc_id")
-    return forest.mapInArrow(_neighbours, "x long, y long, common int").groupBy("x", "y").agg(F.sum("common").alias("weight"))
+    forest = nodes.select("doc_id", "sig").mapInArrow(_orders, "doc_id long, key binary").repartitionByRange(n, F.substring("key", 1, 1 + 4 * LEAST)).sortWithinPartitions("key", "doc_id")
+    return forest.mapInArrow(_neighbours, "x long, y long, common int").groupBy("x", "y").agg(F.sum("common").alias("weight"), (F.min("common") == 0).alias("dense"))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -148,6 +167,61 @@ def _hubs(apart: DataFrame, links: DataFrame, label: DataFrame) -> DataFrame:
     return ends.join(hub, "label").where("a <> hub").select(F.least("a", "hub").alias("x"), F.greatest("a", "hub").alias("y")).distinct()
 
 
+def _sets(docs: DataFrame, k: int) -> DataFrame:
+    """family, node, comp, set of the rows family, node, comp, text."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for words in slices(batch.column(3), bytes_map=LOWER):
+                sets = list(shingle_sets(words, k))
+                values = pa.array(signed(np.concatenate([np.zeros(0, U64), *sets])))
+                columns = [c.slice(words.first, len(words)) for c in batch.columns[:3]]
+                yield pa.RecordBatch.from_arrays([*columns, list_array(values, np.cumsum([0, *map(len, sets)]))], ["family", "node", "comp", "set"])
+
+    return docs.select("family", "node", "comp", "text").mapInArrow(rows, "family long, node long, comp long, set array<long>").where("size(set) > 0").distinct()
+
+
+def completed(families: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """x, y: links that join all components with a link between them within a family.  families: node, family, comp.
+
+    A set is held as its difference from its family's base, the shingles of more than half of the members.  With b shingles
+    in the base, d of them missing, u others, and s in both differences, 100 * intersection >= percent * union is the same as
+    2 * (100 + percent) * s >= cost + cost, where cost = 200 * d + 2 * percent * u - (100 - percent) * b.  A pair of costs
+    up to 0 links whatever it shares, and then both ends link to the member of least cost: one link each.  All others share
+    some of their differences, at least what their cost and the least one ask for: they are found by a join on the rarest
+    ones (a prefix filter, exact for any base), and their shared differences are counted in full.
+    """
+    mixed = families.groupBy("family").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("family")
+    members = cut(families.join(mixed, "family"))
+    sets = cut(_sets(members.join(docs.withColumnRenamed("doc_id", "node"), "node"), k).withColumn("id", F.monotonically_increasing_id()))
+    sizes = sets.groupBy("family").agg(F.count(F.lit(1)).alias("m"))
+    counts = sets.select("family", F.explode("set").alias("s")).groupBy("family", "s").agg(F.count(F.lit(1)).alias("c"))
+    base = counts.join(sizes, "family").where("2 * c > m").groupBy("family").agg(F.collect_list("s").alias("base"))
+    apart = sets.join(base, "family", "left").withColumn("base", F.coalesce("base", F.array().cast("array<long>")))
+    apart = apart.withColumn("missing", F.array_except("base", "set")).withColumn("extra", F.array_except("set", "base"))
+    apart = apart.withColumn("cost", 200 * F.size("missing") + 2 * percent * F.size("extra") - (100 - percent) * F.size("base"))
+    apart = cut(apart.select("family", "node", "comp", "id", "cost", F.concat("missing", "extra").alias("diff")))
+    least = apart.groupBy("family").agg(F.min(F.struct("cost", "node", "comp")).alias("l"))
+    least = cut(least.select("family", F.col("l.cost").alias("least"), F.col("l.node").alias("centre"), F.col("l.comp").alias("centre_comp")))
+    share = 2 * (100 + percent)
+    with_least = apart.join(least, "family")
+    sure = with_least.where("cost + least <= 0 and comp <> centre_comp").select(F.least("node", "centre").alias("x"), F.greatest("node", "centre").alias("y"))
+
+    each = with_least.select("family", "node", "comp", "id", "cost", F.greatest(F.lit(1), F.ceil((F.col("cost") + F.col("least")) / share)).alias("need"), F.explode("diff").alias("s"))
+    often = apart.select("family", F.explode("diff").alias("s")).groupBy("family", "s").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    kept = each.join(often, ["family", "s"]).groupBy("family", "node", "comp", "id", "cost", "need").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("diff"))
+    kept = cut(kept.where("size(diff) >= need").withColumn("diff", F.transform("diff", lambda e: e.s)))
+    # Of two components at least one is not the family's largest: that side is `a`.
+    largest = kept.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("family").agg(F.max_by("comp", F.struct("c", "comp")).alias("largest"))
+    rare = kept.join(largest, "family").select("family", "node", "comp", "id", "cost", F.size("diff").alias("n"), (F.col("comp") == F.col("largest")).alias("major"), F.explode(F.expr("slice(diff, 1, cast(size(diff) - need + 1 as int))")).alias("s"))
+    a, b = rare.where("not major").alias("a"), rare.alias("b")
+    on = F.expr(f"a.family = b.family and a.s = b.s and a.comp <> b.comp and (b.major or a.id < b.id) and a.cost + b.cost > 0 and {share} * least(a.n, b.n) >= a.cost + b.cost")
+    asked = a.join(b, on).select(F.col("a.id").alias("i"), F.col("b.id").alias("j")).distinct()
+    of = lambda i, x: kept.select(F.col("id").alias(i), F.col("node").alias(x), F.col("cost").alias(f"c{x}"), F.col("diff").alias(f"d{x}"))
+    shared = asked.join(of("i", "x"), "i").join(of("j", "y"), "j").where(share * F.size(F.array_intersect("dx", "dy")) >= F.col("cx") + F.col("cy"))
+    return sure.union(shared.select(F.least("x", "y"), F.greatest("x", "y"))).distinct()
+
+
 def classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text).
 
@@ -158,7 +232,8 @@ def classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     sig = cut(signatures(docs, k))
     nodes = sig.where("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig"))
     nodes = cut(nodes)
-    pairs = cut(candidates(nodes.select(F.col("node").alias("doc_id"), "sig")))
+    near = cut(candidates(nodes.select(F.col("node").alias("doc_id"), "sig")))
+    pairs, runs_of = near.where("weight > 0").select("x", "y", "weight"), near.where("dense").select(F.col("x").alias("u"), F.col("y").alias("v"))
     ends = pairs.select("x", "y", "weight", F.col("x").alias("at")).union(pairs.select("x", "y", "weight", F.col("y").alias("at")))
     asked = ends.groupBy("at").agg(F.max_by(F.struct("x", "y"), F.struct("weight", -F.col("x"), -F.col("y"))).alias("p")).select("p.x", "p.y").distinct()
     seen = asked = cut(asked)
@@ -177,6 +252,12 @@ def classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
             label = components(links.select(F.col("x").alias("u"), F.col("y").alias("v")))
         seen, hubs = seen.union(asked), True
         ask = lambda apart: _hubs(apart, links, label)
+    if not runs_of.isEmpty():
+        families = components(runs_of).withColumnRenamed("label", "family").join(label, "node", "left").select("node", "family", F.coalesce("label", "node").alias("comp"))
+        new = cut(completed(families, docs, k, percent))
+        if not new.isEmpty():
+            links = cut(links.union(new))
+            label = components(links.select(F.col("x").alias("u"), F.col("y").alias("v")))
     named = nodes.join(label, "node", "left").select("h1", "h2", "n", F.coalesce("label", "node").alias("c"))
     return sig.join(named, ["h1", "h2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))
 

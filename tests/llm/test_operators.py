@@ -345,6 +345,42 @@ def test_substring_dedup(spark, docs, data):
 # ---------------------------------------------------------------- 8
 
 
+@pytest.mark.parametrize("k", [4, 5])
+def test_near_dedup_dense_family(spark, k):
+    """400 texts at pairwise similarity 0.787 to 0.789; 40 pairs of them share one shingle more: 0.802 to 0.803."""
+    base = [f"w{i}" for i in range(100)]
+    tails = {i: [f"t{i % 360 if j == 0 else i}x{j}" for j in range(13)] for i in range(400)}
+    rows = [(i, " ".join(base + tail)) for i, tail in tails.items()]
+    got = {r.doc_id: r.component_id for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string"), k, 80).collect()}
+    assert got == {i: i % 360 for i in range(400)}
+
+
+def test_near_dedup_dense_family_against_brute_force(spark):
+    """Random edits of one text, many pairs near the threshold; also texts in two rows of one doc_id."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(200):
+        words = list(base)
+        for at in rng.sample(range(120), rng.choice([3, 4, 5, 6])):
+            words[at] = f"e{rng.randrange(400)}"
+        rows.append((i, " ".join(words)))
+    sets = [{tuple(t.split()[j : j + 4]) for j in range(117)} for _, t in rows]
+    label = list(range(200))
+    for x in range(200):
+        for y in range(x):
+            both = len(sets[x] & sets[y])
+            if 100 * both >= 80 * (len(sets[x]) + len(sets[y]) - both) and label[x] != label[y]:
+                lo, hi = sorted((label[x], label[y]))
+                label = [lo if c == hi else c for c in label]
+    assert 1 < len(set(label)) < 200
+    got = near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80)
+    assert {r.doc_id: r.component_id for r in got.collect()} == dict(enumerate(label))
+    pairs = near_dedup.completed(spark.createDataFrame([(i, 0, i) for i in range(200)], "node long, family long, comp long"), spark.createDataFrame(rows, "doc_id long, text string"), 4, 80)
+    alone = {r.node: r.label for r in near_dedup.components(pairs.selectExpr("x as u", "y as v")).collect()}
+    assert {i: alone.get(i, i) for i in range(200)} == dict(enumerate(label))
+
+
 def test_near_dedup(spark, docs, data):
     def sets(t, k):
         w = WORD.findall(lower(t or ""))
