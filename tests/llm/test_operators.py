@@ -313,6 +313,14 @@ def test_line_dedup_of_many_copies(spark):
     assert sorted(r.removed for r in line_dedup.removals(df, rare=5).collect()) == [[]] + [[0, 1]] * 79
 
 
+def test_line_dedup_of_frequent_lines_beside_a_rarer_one(spark):
+    """A passage in 80 documents goes from all but the first, although each also shares a line with one other document."""
+    rows = [(i, f"stray {i}") for i in range(80)] + [(100 + i, f"stray {i}\nx y\nhello there") for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.removed for r in line_dedup.removals(df).collect()}
+    assert got == {i: [] for i in range(80)} | {100: [0]} | {i: [0, 1, 2] for i in range(101, 180)}
+
+
 # ---------------------------------------------------------------- 7
 
 
