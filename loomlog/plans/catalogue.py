@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomlog.functions import prompts, similarity, text
+from loomlog.llm.common import ranked
 from loomlog.operators import clusters, match, merge, metrics, pool, stats
 from loomlog.plans.pipeline import Pipeline, cleaned
 from loomlog.sources import files
@@ -234,8 +235,8 @@ def grouped_results(spark, sf_dir):
 
 @query(f"WITH {_LOGS}, r AS (SELECT seq, row_number() OVER (ORDER BY seq) AS i FROM logs) SELECT ((i - 1) // 1000 + 1)::BIGINT AS chunk, count(*)::BIGINT AS n FROM r GROUP BY 1")
 def chunk_numbers(spark, sf_dir):
-    # event ids count from 0 without gaps, so the position needs no global sort
-    return logs(spark, sf_dir).groupBy(files.chunk_number(F.col("seq") + 1).cast("long").alias("chunk")).agg(F.count(F.lit(1)).alias("n"))
+    rows = ranked(logs(spark, sf_dir).select("seq"), [F.col("seq").asc_nulls_last()])
+    return rows.groupBy(files.chunk_number(F.col("rank") + 1).cast("long").alias("chunk")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # ---------------------------------------------------------------- clusters

@@ -38,3 +38,9 @@ def test_query(spark, db, name):
         assert got == sorted((tuple(plain(v) for v in r) for r in rows), key=repr)
     else:
         assert got
+
+
+def test_chunk_numbers_with_gaps_and_repeats(spark, tmp_path):
+    rows = spark.range(2500).selectExpr("7 + 3 * (id div 2) as event_id", "timestamp'2024-01-01 00:00:00' as ts", "1L as user_id", "'view' as event_type", "1.0D as value", "'{\"k\": 1}' as props")
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    assert sorted(map(tuple, catalogue.queries()["chunk_numbers"](spark, str(tmp_path)).collect())) == [(1, 1000), (2, 1000), (3, 500)]
