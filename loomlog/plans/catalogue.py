@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomlog.functions import prompts, similarity, text
-from loomlog.llm.common import ranked
 from loomlog.operators import clusters, match, merge, metrics, pool, stats
+from loomlog.operators.tables import ranked
 from loomlog.plans.pipeline import Pipeline, cleaned
 from loomlog.sources import files
 from loomlog.sources.config import Config, Preprocessing
