@@ -1,16 +1,16 @@
-"""What several operators share: shared-folder checkpoints, distributed ranks, and vectorised text splitting.
+"""What several operators share: vectorised text splitting and hashes.  Tables and ranks come from the core.
 
 Text is handled as one flat UTF-8 byte array for each slice of an Arrow batch.  The separators of
 ``[^\\x20\\x09-\\x0D]+`` are single ASCII bytes that never occur inside a longer UTF-8 sequence, so splitting bytes
-is exact, and a word's 64-bit hash is a difference of prefix sums: no Python loop over words.
+is exact.  A word is hashed eight bytes at a time, all words of a slice at once; a long one (a line, say) as a tree of blocks: no
+Python loop over words.  Every step is multiplied and folded by mix(), so that no arrangement of bytes cancels out, as it
+can in a polynomial modulo 2^64.  These hashes are not keyed: equality that an adversary may attack needs fingerprints.digests().
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -18,75 +18,32 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomlog.operators.tables import dropped, kept, ranked, shared_dir, shuffle_partitions
+
+__all__ = ["dropped", "kept", "ranked", "shared_dir", "shuffle_partitions"]
+
 #: Bytes of text that are split at once; one longer text is a slice of its own.
 SLICE_BYTES = 1 << 20
-#: Rank tables of at most so many rows (24 bytes each) are broadcast.
-BROADCAST_ROWS = 50_000
 
 U64 = np.uint64
 
 
-# ---------------------------------------------------------------- Spark helpers
-
+#: Keys that hold more than one row in HOT are broadcast; there are HOT of them at most, whatever the input.
+HOT = 20_000
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where the session names none (tests, a local shell)."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="loomlog-")
-        sc.setCheckpointDir(named)
-    return named
 
+def spread_join(rows: DataFrame, keyed: DataFrame, on: list[str], count: str, total: int) -> DataFrame:
+    """rows joined with keyed, which has one row for each key and in `count` how many of the `total` rows have that key.
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept as a table in the shared folder, so that a lost executor costs no recomputation.
-
-    Unlike a checkpoint, which carries over its plan's size estimates (products of products in an iteration, until planning
-    takes minutes), a table has its true size, by which Spark decides whether a join may broadcast it.
+    A key with more than total / HOT rows would weigh down the task it is dealt to.  There are fewer than HOT such
+    keys, so these are broadcast, a bound that holds for any input; all other rows meet their key by a shuffle.  Both
+    sides are read twice: pass kept tables.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/loomlog-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
-def ranked(df: DataFrame, order: list, group: list[str] = (), name: str = "rank") -> DataFrame:
-    """df with each row's rank from 0 in the total order `order`, within the columns `group`; no task holds a whole group.
-
-    Rows are dealt by ranges of (group, order), sorted and kept; a partition's rows then need only the number of
-    rows of their group in earlier partitions.  That table has a row for each group and partition: it is broadcast
-    up to BROADCAST_ROWS, else joined.  Rows equal in all columns share out their ranks arbitrarily.
-    """
-    spark, group = df.sparkSession, list(group)
-    keys = [F.col(c).asc_nulls_last() for c in group] + order
-    shared_dir(spark)
-    kept = (
-        df.repartitionByRange(shuffle_partitions(spark), *keys)
-        .sortWithinPartitions(*keys)
-        .withColumn("_part", F.spark_partition_id())
-        .withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-        .checkpoint()
-    )
-    parts = kept.groupBy("_part", *group).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_from"))
-    if group:
-        rows = parts.count()
-    else:
-        rows = kept.rdd.getNumPartitions()
-    before = F.expr(
-        f"sum(_n) over ({'partition by ' + ', '.join(f'`{c}`' for c in group) if group else ''} order by _part rows between unbounded preceding and 1 preceding)"
-    )
-    starts = parts.select(F.col("_part").alias("_p"), *(F.col(c).alias(f"_g{i}") for i, c in enumerate(group)), (F.coalesce(before, F.lit(0)) - F.col("_from")).alias("_shift"))
-    if rows <= BROADCAST_ROWS:
-        starts = F.broadcast(starts)
-    same = F.col("_part") == F.col("_p")
-    for i, c in enumerate(group):
-        same &= F.col(c).eqNullSafe(F.col(f"_g{i}"))
-    return kept.join(starts, same).withColumn(name, (F.col("_at") + F.col("_shift")).cast("long")).select(*df.columns, name)
+    hot = F.col(count) > F.lit(total // HOT)
+    often = F.broadcast(keyed.where(hot))
+    columns = [*rows.columns, *(c for c in keyed.columns if c not in on)]
+    rest = rows.join(F.broadcast(keyed.where(hot).select(*on)), on, "left_anti").join(keyed.where(~hot), on)
+    return rows.join(often, on).select(*columns).unionByName(rest.select(*columns))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,12 +52,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- text as bytes
 
-_rng = np.random.Generator(np.random.PCG64(20240607))
-_TABLE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
-_BASE = U64(0x9E3779B97F4A7C15)
-_BASE_INV = U64(pow(int(_BASE), -1, 1 << 64))
 #: Odd multipliers for the places of a short run of words.
-_PLACES = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * U64(2) + U64(1)
+_PLACES = np.random.Generator(np.random.PCG64(20240607)).integers(1, 1 << 63, 64, dtype=np.uint64) * U64(2) + U64(1)
+#: Masks that keep the first 0 to 8 bytes of a little-endian value.
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], U64)
+#: Values of one block of a tree hash.
+_BLOCK = 8
 
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
@@ -112,16 +69,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def _powers(base: np.uint64, n: int, held: dict = {}) -> np.ndarray:
-    """base ** 0, 1, ... n-1 modulo 2 ** 64."""
-    have = held.get(int(base))
-    if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 16), base, U64)
-        have[0] = 1
-        have = held[int(base)] = np.multiply.accumulate(have)
-    return have[:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
     x = x ^ (x >> U64(33))
@@ -132,6 +79,34 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def folded(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each range of values: blocks of _BLOCK are hashed in turn, then the hashes of the blocks, up to one."""
+    count, level = ends - starts, seed
+    length = count.astype(U64)
+    while True:
+        level += 1
+        blocks = np.maximum(-(-count // _BLOCK), 1)
+        single = len(blocks) == 0 or int(blocks.max()) == 1
+        if single:
+            lo, hi = starts, ends
+        else:
+            at = np.cumsum(blocks) - blocks
+            step = (np.arange(int(blocks.sum())) - np.repeat(at, blocks)) * _BLOCK
+            lo = np.repeat(starts, blocks) + step
+            hi = np.minimum(lo + _BLOCK, np.repeat(ends, blocks))
+        h = np.full(len(lo), U64(level * 0x9E3779B97F4A7C15 % (1 << 64)))
+        for j in range(int((hi - lo).max()) if len(lo) else 0):
+            some = np.flatnonzero(lo + j < hi)
+            if len(some) == len(lo):
+                h = mix((h ^ values[lo + j]) * _PLACES[j])
+            else:
+                h[some] = mix((h[some] ^ values[lo[some] + j]) * _PLACES[j])
+        if single:
+            return mix(h ^ length * U64(0xD6E8FEB86659FD93))
+        values, starts = h, at
+        ends, count = at + blocks, blocks
+
+
 @dataclass
 class Words:
     """The words of some consecutive texts: word i is buf[starts[i]:ends[i]]; text d has words at[d] to at[d + 1]."""
@@ -142,7 +117,7 @@ class Words:
     starts: np.ndarray
     ends: np.ndarray
     at: np.ndarray
-    _sums: np.ndarray | None = None
+    _padded: np.ndarray | None = field(default=None, repr=False)
 
     def __len__(self) -> int:
         """Number of texts."""
@@ -156,35 +131,37 @@ class Words:
         """Of each word, the text it is in."""
         return np.repeat(np.arange(len(self)), self.counts)
 
-    def hashes(self, longest: int | None = None) -> np.ndarray:
-        """A 64-bit hash of each word, or of its first `longest` bytes."""
-        if self._sums is None:
-            self._sums = np.zeros(len(self.buf) + 1, U64)
-            np.cumsum(_TABLE[self.buf] * _powers(_BASE, len(self.buf)), out=self._sums[1:])
-        ends = self.ends if longest is None else np.minimum(self.ends, self.starts + longest)
-        value = (self._sums[ends] - self._sums[self.starts]) * _powers(_BASE_INV, len(self.buf) + 1)[self.starts]
-        return mix(value + (ends - self.starts).astype(U64) * U64(0xD6E8FEB86659FD93))
-
-
-def runs(h: np.ndarray, k: int) -> np.ndarray:
+    def hashes(self, longest: int | None = None, seed: int = 0) -> np.ndarray:
+        """A 64-bit hash of each word, or of its first `longest` bytes; hashes of different seeds are independent."""
+        if not len(self.starts):
+            return np.zeros(0, U64)
+        if self._padded is None:
+            self._padded = np.concatenate([self.buf, np.zeros(8, np.uint8)])
+        eight = np.ndarray(len(self.buf) + 1, "<u8", self._padded, 0, (1,))
+        starts, ends = self.starts, self.ends if longest is None else np.minimum(self.ends, self.starts + longest)
+        size = ends - starts
+        out = eight[starts] & _MASKS[np.minimum(size, 8)]
+        out = mix((out ^ U64((seed + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) * _PLACES[0] + size.astype(U64) * U64(0xD6E8FEB86659FD93))
+        long = np.flatnonzero(size > 8)
+        if len(long):
+            pieces = -(-size[long] // 8)
+            to = np.cumsum(pieces)
+            step = (np.arange(int(to[-1])) - np.repeat(to - pieces, pieces)) * 8
+            at = np.repeat(starts[long], pieces) + step
+            values = eight[at] & _MASKS[np.minimum(np.repeat(ends[long], pieces) - at, 8)]
+            out[long] = mix(out[long] ^ folded(values, to - pieces, to, seed))
+        return out
+
+
+def runs(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     """A hash of each run of k values; the result is shorter by k - 1."""
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, U64)
-    out = h[:n] * _PLACES[0]
-    for j in range(1, k):
-        out += h[j : j + n] * _PLACES[j % 64]
-    return mix(out)
-
-
-def long_runs(h: np.ndarray, k: int) -> np.ndarray:
-    """As runs(), for a larger k: differences of prefix sums."""
-    n = len(h) - k + 1
-    if n <= 0:
-        return np.zeros(0, U64)
-    sums = np.zeros(len(h) + 1, U64)
-    np.cumsum(h * _powers(_BASE, len(h)), out=sums[1:])
-    return mix((sums[k:] - sums[:n]) * _powers(_BASE_INV, n))
+    out = np.full(n, U64((seed + k) * 0x9E3779B97F4A7C15 % (1 << 64)))
+    for j in range(k):
+        out = mix((out ^ h[j : j + n]) * _PLACES[j % 64])
+    return out
 
 
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlog.llm.common import cut
+from loomlog.llm.common import kept
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -15,18 +15,18 @@ def components(edges: DataFrame) -> DataFrame:
     the ends of all edges and drops loops; a hub is a key of sums and of joins that adaptive execution can split.  The number of edges
     falls by a constant factor each round; every round is kept in the shared folder.
     """
-    edges = cut(edges.select("u", "v").where("u <> v").distinct())
+    edges = kept(edges.select("u", "v").where("u <> v").distinct())
     labels = None
     while True:
         to = edges.union(edges.select("v", "u")).groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("to"))
-        to = cut(to)
+        to = kept(to)
         if labels is None:
             labels = to.select("node", F.col("to").alias("label"))
         else:
             labels = labels.join(to.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-        labels = cut(labels)
+        labels = kept(labels)
         left = to.select(F.col("node").alias("u"), F.col("to").alias("u2"))
         right = to.select(F.col("node").alias("v"), F.col("to").alias("v2"))
-        edges = cut(edges.join(left, "u").join(right, "v").where("u2 <> v2").select(F.least("u2", "v2").alias("u"), F.greatest("u2", "v2").alias("v")).distinct())
+        edges = kept(edges.join(left, "u").join(right, "v").where("u2 <> v2").select(F.least("u2", "v2").alias("u"), F.greatest("u2", "v2").alias("v")).distinct())
         if edges.isEmpty():
             return labels

@@ -2,17 +2,19 @@
 
 A document's set is that of its distinct k-word shingles (A-Z lower-cased); documents link at a Jaccard similarity of
 `percent` / 100 or more.  Documents with equal sets share one node, the least doc_id of them, so that exact copies are
-never paired.  Each of `TREES` sorted orders sorts the nodes by its own sequence of DEPTH minhashes; a node's candidates
-are the `NEAR` nodes before and after it that share a prefix of LEAST values at least.  Neighbours in a sorted order are those with
+never paired.  Each of TREES sorted orders sorts the nodes by its own sequence of DEPTH minhashes; a node's candidates
+are the NEAR nodes before and after it that share a prefix of LEAST values at least.  Neighbours in a sorted order are those with
 the longest common prefix, so the depth adapts: in a dense region they agree deep into the sequence, in a sparse one
-LEAST values are enough.  A pair at similarity 0.8 misses a prefix of 3 in all 16 trees with probability 1e-5.
+LEAST values are enough.  Orders are cut into ranges of rows wherever that balances them; a range also sees the first rows of
+the next, so the result does not depend on the number of partitions.
 
-Where more than NEAR + 1 nodes share such a prefix, neighbours alone can miss a link.  The nodes of such runs, joined over
-all trees, are families; within a family all links between different components are found exactly (see completed()).
+Where more than NEAR + 1 nodes share a prefix of RUN values, neighbours alone can miss a link.  The nodes of such runs, joined over
+all trees, are families; within a family all links between different components are found exactly (see completed()).  So a
+link is found if its ends share a prefix of RUN values in any order.  The first RUN values of the orders are disjoint, hence a pair at
+similarity 0.8 shares none with probability (1 - 0.8 ** 3) ** 24 = 3e-8, and in sparse regions (1 - 0.8 ** 2) ** 24 = 2e-11.
 
-Candidates are verified on full sets: first each node's best candidate, then all candidates that join
-different components so far (a candidate within one component can't change a result), then, for pairs still apart,
-each end against the hub of the other's component, until that links nothing new, then the families.
+Candidates must be alike in size first.  They are verified on full sets: each node's best candidate, then all candidates that join
+different components so far (a candidate within one component can't change a result), then the families.
 """
 
 from __future__ import annotations
@@ -24,11 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlog.llm.common import LOWER, U64, Words, cut, list_array, mix, runs, shuffle_partitions, signed, slices
+from loomlog.llm.common import LOWER, U64, Words, kept, list_array, mix, runs, shared_dir, shuffle_partitions, signed, slices, spread_join
 from loomlog.llm.components import components
 
-TREES, DEPTH, LEAST, NEAR = 16, 6, 3, 3
-_FACTORS = np.random.Generator(np.random.PCG64(42)).integers(1, 1 << 63, TREES * DEPTH, dtype=np.uint64) * U64(2) + U64(1)
+TREES, DEPTH, RUN, LEAST, NEAR = 24, 6, 3, 2, 3
+#: Order t takes the values from RUN * t on, and starts again after the last: its first RUN values are its own.
+VALUES = TREES * RUN
+_TAKES = (RUN * np.arange(TREES)[:, None] + np.arange(DEPTH)) % VALUES
+_FACTORS = np.random.Generator(np.random.PCG64(42)).integers(1, 1 << 63, VALUES, dtype=np.uint64) * U64(2) + U64(1)
 
 
 def shingle_sets(words: Words, k: int) -> Iterator[np.ndarray]:
@@ -45,7 +50,7 @@ def shingle_sets(words: Words, k: int) -> Iterator[np.ndarray]:
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """TREES * DEPTH minhashes as big-endian 32-bit values."""
+    """VALUES minhashes as big-endian 32-bit values."""
     least = np.full(len(_FACTORS), np.iinfo(np.uint64).max, U64)
     for i in range(0, len(shingles), 1024):
         np.minimum(least, (_FACTORS[:, None] * shingles[None, i : i + 1024]).min(1), out=least)
@@ -72,61 +77,86 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
 
 def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each tree: its number and the tree's minhashes, as bytes that sort in their order."""
-    width = 4 * DEPTH
+    width = 4 * DEPTH + 1
     for batch in batches:
         n = batch.num_rows
-        sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(n, TREES, width)
-        keys = np.empty((n, TREES, width + 1), np.uint8)
-        keys[:, :, 0], keys[:, :, 1:] = np.arange(TREES), sig
-        data = pa.py_buffer(keys.tobytes())
-        offsets = pa.py_buffer((np.arange(n * TREES + 1) * (width + 1)).astype(np.int32).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), TREES)), pa.Array.from_buffers(pa.binary(), n * TREES, [None, offsets, data])], ["doc_id", "key"])
+        if n:
+            sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), ">u4").reshape(n, VALUES)
+            keys = np.empty((n, TREES, width), np.uint8)
+            keys[:, :, 0], keys[:, :, 1:] = np.arange(TREES), np.ascontiguousarray(sig[:, _TAKES]).view(np.uint8).reshape(n, TREES, 4 * DEPTH)
+            offsets = pa.py_buffer((np.arange(n * TREES + 1) * width).astype(np.int32).tobytes())
+            ids, size = (pa.array(np.repeat(batch.column(i).to_numpy(), TREES)) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([ids, size, pa.Array.from_buffers(pa.binary(), n * TREES, [None, offsets, pa.py_buffer(keys.tobytes())])], ["doc_id", "n", "key"])
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of rows at most NEAR apart in a sorted partition that share a tree and a prefix of LEAST values.
+def _neighbours(after: dict[int, list], percent: int):
+    """Pairs of rows at most NEAR apart in their order that share a tree and a prefix of LEAST values, and are alike in size.
 
-    Besides, with common 0, a chain through each run of more than NEAR + 1 rows that share such a prefix.
+    Besides, with common 0, a chain through each run of more than NEAR + 1 rows that share a prefix of RUN values.
+    after: of each partition the first rows after it.
     """
-    width, far = 4 * DEPTH, NEAR + 1
+    width, far = 4 * DEPTH + 1, NEAR + 1
 
-    def pairs(a: np.ndarray, b: np.ndarray, common: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(common.astype(np.int32))], ["x", "y", "common"])
+    def pairs(ids: np.ndarray, a: np.ndarray, b: np.ndarray, common: np.ndarray) -> pa.RecordBatch:
+        x, y = ids[a], ids[b]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(common.astype(np.int32))], ["x", "y", "common"])
 
-    ids, keys = np.zeros(0, np.int64), np.zeros((0, width + 1), np.uint8)
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        new = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, width + 1)
-        old = len(ids)
-        ids, keys = np.concatenate([ids, batch.column(0).to_numpy()]), np.concatenate([keys, new])
+    def seen(ids: np.ndarray, size: np.ndarray, keys: np.ndarray, old: int, to: int) -> Iterator[pa.RecordBatch]:
+        """Pairs of a row before `to` and a later one from `old` on."""
         values = np.ascontiguousarray(keys[:, 1:]).view(np.uint32)
         for j in range(1, far + 1):
-            if len(ids) > j:
-                same = np.concatenate([keys[j:, :1] == keys[:-j, :1], values[j:] == values[:-j]], 1)
-                common = np.logical_and.accumulate(same, 1).sum(1) - 1
-                long = common >= LEAST
-                if j < far:
-                    at = np.flatnonzero(long & (ids[j:] != ids[:-j]))
-                    at = at[at + j >= old]  # the others were seen with the batch before
-                    yield pairs(ids[at], ids[at + j], common[at])
-                else:
-                    before = np.concatenate([[False], long[:-1]])
-                    fresh = np.arange(len(long)) + far >= old
-                    starts = np.flatnonzero(long & ~before & fresh)
-                    at = np.concatenate([np.flatnonzero(long & fresh) + NEAR, *(starts + i for i in range(NEAR))])
-                    yield pairs(ids[at], ids[at + 1], np.zeros(len(at)))
-        ids, keys = ids[-far - 1 :], keys[-far - 1 :]
-
-
-def candidates(nodes: DataFrame) -> DataFrame:
-    """x < y, weight (sum of common prefixes) of neighbouring nodes, dense (linked by a run of more than NEAR + 1).  nodes: doc_id, sig.
-
-    Ranges end between prefixes of LEAST values, so that no run is cut.
-    """
-    n = shuffle_partitions(nodes.sparkSession)
-    forest = nodes.select("doc_id", "sig").mapInArrow(_orders, "doc_id long, key binary").repartitionByRange(n, F.substring("key", 1, 1 + 4 * LEAST)).sortWithinPartitions("key", "doc_id")
-    return forest.mapInArrow(_neighbours, "x long, y long, common int").groupBy("x", "y").agg(F.sum("common").alias("weight"), (F.min("common") == 0).alias("dense"))
+            if len(ids) <= j:
+                break
+            same = np.concatenate([keys[j:, :1] == keys[:-j, :1], values[j:] == values[:-j]], 1)
+            common = np.logical_and.accumulate(same, 1).sum(1) - 1
+            fresh = (np.arange(len(common)) + j >= old) & (np.arange(len(common)) < to)
+            if j < far:
+                alike = 100 * np.minimum(size[j:], size[:-j]) >= percent * np.maximum(size[j:], size[:-j])
+                at = np.flatnonzero(fresh & (common >= LEAST) & alike)
+                yield pairs(ids, at, at + j, common[at])
+            else:
+                long = common >= RUN
+                starts = np.flatnonzero(long & ~np.concatenate([[False], long[:-1]]) & fresh)
+                at = np.concatenate([np.flatnonzero(long & fresh) + NEAR, *(starts + i for i in range(NEAR))])
+                yield pairs(ids, at, at + 1, np.zeros(len(at)))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, size, keys, part = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, width), np.uint8), None
+
+        def grown(more_ids, more_size, more_keys):
+            more = np.frombuffer(b"".join(more_keys), np.uint8).reshape(-1, width)
+            return np.concatenate([ids[-far:], more_ids]), np.concatenate([size[-far:], more_size]), np.concatenate([keys[-far:], more])
+
+        for batch in batches:
+            if batch.num_rows:
+                old, part = min(len(ids), far), batch.column(3)[0].as_py()
+                ids, size, keys = grown(batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist())
+                yield from seen(ids, size, keys, old, len(ids))
+        rest = after.get(part, [])
+        if rest:
+            old = min(len(ids), far)
+            ids, size, keys = grown(np.array([r[0] for r in rest], np.int64), np.array([r[1] for r in rest], np.int64), [r[2] for r in rest])
+            yield from seen(ids, size, keys, old, old)
+
+    return rows
+
+
+def candidates(nodes: DataFrame, percent: int = 80) -> DataFrame:
+    """x < y, weight (sum of common prefixes) of neighbouring nodes, dense (linked by a run of more than NEAR + 1).  nodes: doc_id, n, sig."""
+    spark = nodes.sparkSession
+    shared_dir(spark)
+    forest = nodes.select("doc_id", "n", "sig").mapInArrow(_orders, "doc_id long, n long, key binary")
+    forest = forest.repartitionByRange(shuffle_partitions(spark), "key", "doc_id").sortWithinPartitions("key", "doc_id").withColumn("part", F.spark_partition_id()).checkpoint()
+    # NEAR + 1 rows of each partition: a bound that does not grow with the documents
+    first = forest.withColumn("at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).where(F.col("at") <= NEAR).collect()
+    first.sort(key=lambda r: (r.part, r["at"]))
+    after: dict[int, list] = {}
+    following: list = []
+    for r in reversed(first):
+        after.setdefault(r.part, following)
+        following = [(r.doc_id, r.n, bytes(r.key)), *following][: NEAR + 1]
+    near = forest.mapInArrow(_neighbours(after, percent), "x long, y long, common int").where("x <> y")
+    return near.groupBy("x", "y").agg(F.sum("common").alias("weight"), (F.min("common") == 0).alias("dense"))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -156,17 +186,6 @@ def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
     return named.select("x", "y", F.coalesce("lx", "x").alias("lx"), F.coalesce("ly", "y").alias("ly")).where("lx <> ly")
 
 
-def _hubs(apart: DataFrame, links: DataFrame, label: DataFrame) -> DataFrame:
-    """Each end of a pair with the node of most links in the other end's component.
-
-    In a large group of near copies of one text, each may be similar to that text alone, and the neighbours are other copies.
-    """
-    degree = links.select(F.col("x").alias("node")).union(links.select(F.col("y").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("d"))
-    hub = degree.join(label, "node").groupBy("label").agg(F.max_by("node", F.struct("d", -F.col("node"))).alias("hub"))
-    ends = apart.select(F.col("x").alias("a"), F.col("ly").alias("label")).union(apart.select(F.col("y").alias("a"), F.col("lx").alias("label"))).distinct()
-    return ends.join(hub, "label").where("a <> hub").select(F.least("a", "hub").alias("x"), F.greatest("a", "hub").alias("y")).distinct()
-
-
 def _sets(docs: DataFrame, k: int) -> DataFrame:
     """family, node, comp, set of the rows family, node, comp, text."""
 
@@ -192,32 +211,32 @@ def completed(families: DataFrame, docs: DataFrame, k: int, percent: int) -> Dat
     ones (a prefix filter, exact for any base), and their shared differences are counted in full.
     """
     mixed = families.groupBy("family").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("family")
-    members = cut(families.join(mixed, "family"))
-    sets = cut(_sets(members.join(docs.withColumnRenamed("doc_id", "node"), "node"), k).withColumn("id", F.monotonically_increasing_id()))
+    members = kept(families.join(mixed, "family"))
+    sets = kept(_sets(members.join(docs.withColumnRenamed("doc_id", "node"), "node"), k).withColumn("id", F.monotonically_increasing_id()))
     sizes = sets.groupBy("family").agg(F.count(F.lit(1)).alias("m"))
     counts = sets.select("family", F.explode("set").alias("s")).groupBy("family", "s").agg(F.count(F.lit(1)).alias("c"))
     base = counts.join(sizes, "family").where("2 * c > m").groupBy("family").agg(F.collect_list("s").alias("base"))
     apart = sets.join(base, "family", "left").withColumn("base", F.coalesce("base", F.array().cast("array<long>")))
     apart = apart.withColumn("missing", F.array_except("base", "set")).withColumn("extra", F.array_except("set", "base"))
     apart = apart.withColumn("cost", 200 * F.size("missing") + 2 * percent * F.size("extra") - (100 - percent) * F.size("base"))
-    apart = cut(apart.select("family", "node", "comp", "id", "cost", F.concat("missing", "extra").alias("diff")))
+    apart = kept(apart.select("family", "node", "comp", "id", "cost", F.concat("missing", "extra").alias("diff")))
     least = apart.groupBy("family").agg(F.min(F.struct("cost", "node", "comp")).alias("l"))
-    least = cut(least.select("family", F.col("l.cost").alias("least"), F.col("l.node").alias("centre"), F.col("l.comp").alias("centre_comp")))
+    least = kept(least.select("family", F.col("l.cost").alias("least"), F.col("l.node").alias("centre"), F.col("l.comp").alias("centre_comp")))
     share = 2 * (100 + percent)
     with_least = apart.join(least, "family")
     sure = with_least.where("cost + least <= 0 and comp <> centre_comp").select(F.least("node", "centre").alias("x"), F.greatest("node", "centre").alias("y"))
 
     each = with_least.select("family", "node", "comp", "id", "cost", F.greatest(F.lit(1), F.ceil((F.col("cost") + F.col("least")) / share)).alias("need"), F.explode("diff").alias("s"))
     often = apart.select("family", F.explode("diff").alias("s")).groupBy("family", "s").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    kept = each.join(often, ["family", "s"]).groupBy("family", "node", "comp", "id", "cost", "need").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("diff"))
-    kept = cut(kept.where("size(diff) >= need").withColumn("diff", F.transform("diff", lambda e: e.s)))
+    some = each.join(often, ["family", "s"]).groupBy("family", "node", "comp", "id", "cost", "need").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("diff"))
+    some = kept(some.where("size(diff) >= need").withColumn("diff", F.transform("diff", lambda e: e.s)))
     # Of two components at least one is not the family's largest: that side is `a`.
-    largest = kept.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("family").agg(F.max_by("comp", F.struct("c", "comp")).alias("largest"))
-    rare = kept.join(largest, "family").select("family", "node", "comp", "id", "cost", F.size("diff").alias("n"), (F.col("comp") == F.col("largest")).alias("major"), F.explode(F.expr("slice(diff, 1, cast(size(diff) - need + 1 as int))")).alias("s"))
+    largest = some.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("family").agg(F.max_by("comp", F.struct("c", "comp")).alias("largest"))
+    rare = some.join(largest, "family").select("family", "node", "comp", "id", "cost", F.size("diff").alias("n"), (F.col("comp") == F.col("largest")).alias("major"), F.explode(F.expr("slice(diff, 1, cast(size(diff) - need + 1 as int))")).alias("s"))
     a, b = rare.where("not major").alias("a"), rare.alias("b")
     on = F.expr(f"a.family = b.family and a.s = b.s and a.comp <> b.comp and (b.major or a.id < b.id) and a.cost + b.cost > 0 and {share} * least(a.n, b.n) >= a.cost + b.cost")
     asked = a.join(b, on).select(F.col("a.id").alias("i"), F.col("b.id").alias("j")).distinct()
-    of = lambda i, x: kept.select(F.col("id").alias(i), F.col("node").alias(x), F.col("cost").alias(f"c{x}"), F.col("diff").alias(f"d{x}"))
+    of = lambda i, x: some.select(F.col("id").alias(i), F.col("node").alias(x), F.col("cost").alias(f"c{x}"), F.col("diff").alias(f"d{x}"))
     shared = asked.join(of("i", "x"), "i").join(of("j", "y"), "j").where(share * F.size(F.array_intersect("dx", "dy")) >= F.col("cx") + F.col("cy"))
     return sure.union(shared.select(F.least("x", "y"), F.greatest("x", "y"))).distinct()
 
@@ -229,44 +248,43 @@ def classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     Rows with one doc_id count as one document, linked if any of their texts is; a null doc_id is in the
     class of the rows with an equal set, else its component_id is null.
     """
-    sig = cut(signatures(docs, k))
-    nodes = sig.where("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig"))
-    nodes = cut(nodes)
-    near = cut(candidates(nodes.select(F.col("node").alias("doc_id"), "sig")))
+    sig = kept(signatures(docs, k))
+    groups = sig.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"))
+    groups = kept(groups)
+    near = kept(candidates(groups.where("node is not null").select(F.col("node").alias("doc_id"), "n", "sig"), percent))
     pairs, runs_of = near.where("weight > 0").select("x", "y", "weight"), near.where("dense").select(F.col("x").alias("u"), F.col("y").alias("v"))
     ends = pairs.select("x", "y", "weight", F.col("x").alias("at")).union(pairs.select("x", "y", "weight", F.col("y").alias("at")))
-    asked = ends.groupBy("at").agg(F.max_by(F.struct("x", "y"), F.struct("weight", -F.col("x"), -F.col("y"))).alias("p")).select("p.x", "p.y").distinct()
-    seen = asked = cut(asked)
-    links = cut(verified(asked, docs, k, percent))
+    best = ends.groupBy("at").agg(F.max_by(F.struct("x", "y"), F.struct("weight", -F.col("x"), -F.col("y"))).alias("p")).select("p.x", "p.y").distinct()
+    best = kept(best)
+    links = kept(verified(best, docs, k, percent))
+    label = components(links.select(F.col("x").alias("u"), F.col("y").alias("v")))
+    rest = kept(_apart(pairs, label).select("x", "y").join(best, ["x", "y"], "left_anti"))
+    links = kept(links.union(verified(rest, docs, k, percent)))
     label = components(links.select(F.col("x").alias("u"), F.col("y").alias("v")))
-    ask, hubs = lambda apart: apart.select("x", "y"), False
-    while True:
-        pairs = cut(_apart(pairs, label))
-        asked = cut(ask(pairs).join(seen, ["x", "y"], "left_anti"))
-        new = cut(verified(asked, docs, k, percent))
-        if new.isEmpty():
-            if hubs:
-                break
-        else:
-            links = cut(links.union(new))
-            label = components(links.select(F.col("x").alias("u"), F.col("y").alias("v")))
-        seen, hubs = seen.union(asked), True
-        ask = lambda apart: _hubs(apart, links, label)
     if not runs_of.isEmpty():
         families = components(runs_of).withColumnRenamed("label", "family").join(label, "node", "left").select("node", "family", F.coalesce("label", "node").alias("comp"))
-        new = cut(completed(families, docs, k, percent))
+        new = kept(completed(families, docs, k, percent))
         if not new.isEmpty():
-            links = cut(links.union(new))
+            links = kept(links.union(new))
             label = components(links.select(F.col("x").alias("u"), F.col("y").alias("v")))
-    named = nodes.join(label, "node", "left").select("h1", "h2", "n", F.coalesce("label", "node").alias("c"))
-    return sig.join(named, ["h1", "h2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))
+    named = kept(groups.join(label, "node", "left").select("h1", "h2", "n", "copies", F.coalesce("label", "node").alias("c")))
+    some = sig.where("n > 0").select("doc_id", "h1", "h2", "n")
+    total = named.agg(F.sum("copies")).first()[0] or 0
+    out = spread_join(some, named, ["h1", "h2", "n"], "copies", total).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))
+    return out.unionByName(sig.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def stage(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each class: that of the least doc_id, once if its row is repeated.  Rows without doc_id stay."""
-    gone = classes(docs, k, percent).where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """One document of each class: that of the least doc_id, once if it has several rows (that of the least hash of the text).  Rows
+    without doc_id stay.  Only the texts of doc_ids with several rows are dealt anew."""
+    gone = kept(classes(docs, k, percent).where("doc_id <> component_id").select("doc_id").distinct())
+    repeated = kept(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    names = docs.columns
+    rows = docs.join(gone, "doc_id", "left_anti")
+    once = rows.join(repeated, "doc_id", "left_anti").select(*names)
+    numbered = rows.join(repeated, "doc_id", "left_semi").select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_t"))
+    least = numbered.groupBy("_d").agg(F.min_by(F.struct(*(f"c{i}" for i in range(len(names)))), "_t").alias("r"))
+    return once.unionByName(least.select(*(F.col(f"r.c{i}").alias(c) for i, c in enumerate(names))))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -5,12 +5,14 @@ at equal offsets, so joining texts on seeds meets every repeat.  Consecutive win
 context, the words of all its windows, is the seed extended both ways as far as the seed decides.
 
   1. Anchors whose seed occurs once in the corpus are dropped (a count with partial sums, then a join).
-  2. Of the anchors with an equal context all but the first are repeats as a whole.
-  3. Where a seed has several contexts, their first anchors are extended word by word: a window of one of them is a repeat if an
-     equal window starts earlier.
-
-A word is removed if a repeated window covers it; overlapping windows add up to maximal repeats.  Every step is linear in the text: no
-two members of a group are paired.
+  2. Of the anchors with an equal seed and context all but the first are repeats as a whole.
+  3. Where a seed has several contexts, their first anchors are extended by every split of the words that a window has left of the
+     seed and right of it: a window of one of them is a repeat if the seed with the same extension occurs earlier.
+
+A word is removed if a repeated window covers it; repeats of adjacent windows with one source add up to maximal repeats (see
+maximal()).  Every step is linear in the text: no two members of a group are paired.  Two windows count as equal if both
+the seed's hash and the extension's agree, 128 bits of two independent hashes.  Keys that many rows share (a passage in a third of all
+texts) are not dealt to one task: see common.spread_join().
 """
 
 from __future__ import annotations
@@ -22,9 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlog.llm.common import _BASE, _BASE_INV, U64, _powers, cut, long_runs, mix, runs, signed, slices
+from loomlog.llm.common import folded, kept, runs, signed, slices, spread_join
 
 SEED = 5
+_NULL = -(1 << 63)
 
 
 def _least_places(g: np.ndarray, width: int) -> np.ndarray:
@@ -41,8 +44,8 @@ def _least_places(g: np.ndarray, width: int) -> np.ndarray:
 def _anchors(length: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for words in slices(batch.column(1)):
+            d, t = (batch.column(i).to_numpy() for i in (0, 1))
+            for words in slices(batch.column(2)):
                 h = words.hashes()
                 if len(h) < length:
                     continue
@@ -55,93 +58,109 @@ def _anchors(length: int):
                 first = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (o[1:] != o[:-1])]))
                 n = np.diff(np.append(first, len(window)))
                 lo, seed, doc = window[first], p[first], o[first]
-                sums = np.zeros(len(h) + 1, U64)
-                np.cumsum(h * _powers(_BASE, len(h)), out=sums[1:])
-                end = lo + n - 1 + length
-                context = mix((sums[end] - sums[lo]) * _powers(_BASE_INV, len(h) + 1)[lo] + ((seed - lo) * 1024 + n).astype(U64) * U64(0xD6E8FEB86659FD93))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[words.first + doc]), pa.array(signed(g[seed])), pa.array(signed(context)), pa.array((lo - words.at[doc]).astype(np.int32)), pa.array(n.astype(np.int32))], ["d", "seed", "context", "lo", "n"])
+                # the place of the seed in its windows goes into the hash
+                context = folded(words.hashes(seed=1), lo, lo + n - 1 + length) ^ folded((seed - lo).astype(np.uint64), np.arange(len(lo)), np.arange(len(lo)) + 1, 9)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(d[words.first + doc]), pa.array(t[words.first + doc]), pa.array(signed(g[seed])), pa.array(signed(context)), pa.array((lo - words.at[doc]).astype(np.int32)), pa.array(n.astype(np.int32))],
+                    ["d", "t", "seed", "context", "lo", "n"],
+                )
 
     return rows
 
 
 def _windows(length: int):
-    """Of each text and its list of anchors, the hash and start of their windows."""
+    """Of each text and its list of anchors (lo, n, seed): seed, extension and start of their windows."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(2)
+            lists = batch.column(3)
             ends = np.cumsum([0, *(len(x) for x in lists)])
             flat = lists.flatten()
-            lo, n = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
-            for words in slices(batch.column(1)):
-                h = long_runs(words.hashes(), length)
+            lo, n, seed = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
+            for words in slices(batch.column(2)):
+                h = runs(words.hashes(seed=1), length)
                 a, b = ends[words.first], ends[words.first + len(words)]
                 doc = np.repeat(np.arange(len(words)), np.diff(ends[words.first : words.first + len(words) + 1]))
                 k = n[a:b]
                 start = np.repeat(lo[a:b], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-                doc = np.repeat(doc, k)
-                fits = start + length <= words.counts[doc]
-                start, doc = start[fits], doc[fits]
-                ids = batch.column(0).take(pa.array(words.first + doc))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(signed(h[words.at[doc] + start])), pa.array(start.astype(np.int32))], ["d", "window", "lo"])
+                doc, mine = np.repeat(doc, k), np.repeat(seed[a:b], k)
+                of = pa.array(words.first + doc)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(mine), pa.array(signed(h[words.at[doc] + start])), pa.array(start.astype(np.int32))], ["d", "t", "seed", "extension", "lo"])
 
     return rows
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """d, text: a null doc_id comes before all others."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("d"), "text")
+    """d, t, text: a null doc_id comes before all others; t is a hash of the text."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"), "text")
 
 
 def repeats(docs: DataFrame, length: int = 20) -> DataFrame:
-    """d, spans: of each text (see keyed()) with repeats, the spans (start, end) of words to remove, perhaps overlapping.
+    """d, t (see keyed()), a, b (a span of words to remove, from a to before b), and sd, st, sa: the text where it occurs first, and where there.
 
-    Earlier is: of smaller d, or the same d and an earlier start.  Rows that share a doc_id share their spans: a repeated row is no repeat of
-    itself.
+    Earlier is: of smaller d, or the same d and a smaller t, or the same text and an earlier start.  Rows alike in doc_id and text are one
+    document, so a repeated row is no repeat of itself; texts that only share a doc_id (or have none) are documents of their own.
     """
     if length < 2 * SEED:
         raise ValueError(f"length is {2 * SEED} at least")
     texts = keyed(docs)
-    anchors = cut(texts.mapInArrow(_anchors(length), "d long, seed long, context long, lo int, n int"))
-    often = anchors.groupBy("seed").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("seed")
-    anchors = cut(anchors.join(often, "seed"))
-    kinds = anchors.groupBy("seed", "context").agg(F.min(F.struct("d", "lo", "n")).alias("first"))
-    kinds = cut(kinds.select("seed", "context", F.col("first.d").alias("fd"), F.col("first.lo").alias("flo"), F.col("first.n").alias("fn")))
-    whole = anchors.join(kinds, ["seed", "context"]).where("d <> fd or lo <> flo").select("d", F.col("lo").alias("a"), (F.col("lo") + F.col("n") - 1 + length).alias("b"))
-    several = kinds.groupBy("seed").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("seed")
-    ask = kinds.join(several, "seed").select(F.col("fd").alias("d"), F.struct(F.col("flo").alias("lo"), F.col("fn").alias("n")).alias("w")).groupBy("d").agg(F.collect_list("w").alias("ws"))
-    asked = texts.join(ask, "d", "left").where("ws is not null").select("d", "text", "ws")
-    windows = asked.mapInArrow(_windows(length), "d long, window long, lo int")
-    first = windows.groupBy("window").agg(F.min(F.struct("d", "lo")).alias("f"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("window", F.col("f.d").alias("fd"), F.col("f.lo").alias("flo"))
-    part = windows.join(first, "window").where("d <> fd or lo <> flo").select("d", F.col("lo").alias("a"), (F.col("lo") + length).alias("b"))
-    return whole.union(part).groupBy("d").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-
-
-def _kept(words: list[bytes], spans) -> list[bytes]:
+    # rows alike in doc_id and text give the same anchors twice; as first of a kind that changes nothing
+    anchors = kept(texts.mapInArrow(_anchors(length), "d long, t long, seed long, context long, lo int, n int"))
+    often = kept(anchors.groupBy("seed").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"))
+    total = often.agg(F.sum("_n")).first()[0] or 0
+    anchors = kept(spread_join(anchors, often, ["seed"], "_n", total).drop("_n"))
+    kinds = anchors.groupBy("seed", "context").agg(F.min(F.struct("d", "t", "lo", "n")).alias("f"), F.count(F.lit(1)).alias("_n"))
+    kinds = kept(kinds.select("seed", "context", F.col("f.d").alias("sd"), F.col("f.t").alias("st"), F.col("f.lo").alias("slo"), F.col("f.n").alias("sn"), "_n"))
+    later = "d <> sd or t <> st or lo <> slo"
+    whole = spread_join(anchors, kinds.where("_n > 1").drop("sn"), ["seed", "context"], "_n", total).where(later)
+    whole = whole.select("d", "t", F.col("lo").alias("a"), (F.col("lo") + F.col("n") - 1 + length).alias("b"), "sd", "st", F.col("slo").alias("sa"))
+    several = kinds.groupBy("seed").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1").select("seed")
+    one = F.struct(F.col("slo").alias("lo"), F.col("sn").alias("n"), "seed")
+    ask = kinds.join(several, "seed").groupBy(F.col("sd").alias("d"), F.col("st").alias("t")).agg(F.collect_list(one).alias("ws"))
+    asked = texts.join(ask, ["d", "t"], "left").where("ws is not null").select("d", "t", "text", "ws")
+    windows = kept(asked.mapInArrow(_windows(length), "d long, t long, seed long, extension long, lo int"))
+    first = windows.groupBy("seed", "extension").agg(F.min(F.struct("d", "t", "lo")).alias("f"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    first = kept(first.select("seed", "extension", F.col("f.d").alias("sd"), F.col("f.t").alias("st"), F.col("f.lo").alias("slo"), "_n"))
+    part = spread_join(windows, first, ["seed", "extension"], "_n", total).where(later)
+    part = part.select("d", "t", F.col("lo").alias("a"), (F.col("lo") + length).alias("b"), "sd", "st", F.col("slo").alias("sa"))
+    return whole.unionByName(part)
+
+
+def maximal(found: DataFrame) -> DataFrame:
+    """repeats() with spans that overlap and have one source on one diagonal merged: the maximal repeats with that source."""
+    line = ["d", "t", "sd", "st", "_line"]
+    rows = found.withColumn("_line", F.col("a") - F.col("sa")).distinct()
+    reach = F.expr(f"max(b) over (partition by {', '.join(line)} order by a, b rows between unbounded preceding and 1 preceding)")
+    fresh = rows.withColumn("_new", F.coalesce((F.col("a") > reach).cast("int"), F.lit(1)))
+    run = fresh.withColumn("_run", F.expr(f"sum(_new) over (partition by {', '.join(line)} order by a, b)"))
+    return run.groupBy(*line, "_run").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.min("sa").alias("sa")).select("d", "t", "a", "b", "sd", "st", "sa")
+
+
+def _kept_words(words: list[bytes], spans) -> list[bytes]:
     change = np.zeros(len(words) + 1, np.int64)
     for a, b in ((s["a"], s["b"]) for s in spans):
-        if a < len(words):
-            change[a] += 1
-            change[min(b, len(words))] -= 1
+        change[a] += 1
+        change[b] -= 1
     gone = np.cumsum(change)[:-1] > 0
     return [w for w, x in zip(words, gone.tolist(), strict=True) if not x]
 
 
 def removed(docs: DataFrame, length: int = 20) -> DataFrame:
-    """doc_id, n_words, n_removed, kept: every text's words without repeats, joined by one space."""
+    """doc_id, n_words, n_removed, kept: every row's words without repeats, joined by one space.  A null text has no words."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, m, out = [], [], []
             for text, spans in zip(batch.column(1).cast(pa.binary()), batch.column(2), strict=True):
                 words = (text.as_py() or b"").split()
-                kept = _kept(words, spans.as_py()) if spans.is_valid else words
-                n.append(len(words)), m.append(len(words) - len(kept)), out.append(b" ".join(kept))
+                left = _kept_words(words, spans.as_py()) if spans.is_valid else words
+                n.append(len(words)), m.append(len(words) - len(left)), out.append(b" ".join(left))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(out, pa.binary()).cast(pa.string())], ["d", "n_words", "n_removed", "kept"])
 
-    found = keyed(docs).join(repeats(docs, length), "d", "left").select("d", "text", "spans")
+    spans = repeats(docs, length).groupBy("d", "t").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    found = keyed(docs).join(spans, ["d", "t"], "left").select("d", "text", "spans")
     out = found.mapInArrow(rows, "d long, n_words long, n_removed long, kept string")
-    return out.select(F.when(F.col("d") != -(1 << 63), F.col("d")).alias("doc_id"), "n_words", "n_removed", "kept")
+    return out.select(F.when(F.col("d") != _NULL, F.col("d")).alias("doc_id"), "n_words", "n_removed", "kept")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlog.llm.common import LOWER, NON_ALNUM, Words, cut, list_array, signed, slices
+from loomlog.llm.common import LOWER, NON_ALNUM, Words, kept, list_array, signed, slices
 
 PREFIXES = (4, 5, 6)
 
@@ -131,7 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, terms: int
     prior = sums.n1 / sums.n
     pick = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     # at most 2 * per_class rows of two numbers: a proven bound
-    sample = cut(docs.select("doc_id", "text").join(F.broadcast(pick[0].union(pick[1])), "doc_id").select("text", "y"))
+    sample = kept(docs.select("doc_id", "text").join(F.broadcast(pick[0].union(pick[1])), "doc_id").select("text", "y"))
     size = sample.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("n1")).first()
     if not size.n or not 0 < size.n1 < size.n:
         return Model(float(np.log(prior / (1 - prior))), none, np.zeros(0), np.zeros((0, 1)))
@@ -159,8 +159,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, terms: int
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs without `text`, with score (0 to 1); a null text counts as empty, an empty one gets the bias alone."""
-    keep = [c for c in docs.columns if c != text]
+    """docs without `text`, with score (0 to 1; a column of that name is replaced); a null text counts as empty, an empty one gets the bias alone."""
+    keep = [c for c in docs.columns if c not in (text, "score")]
     model = Model(model.bias, model.terms, model.weights, model.factors)
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
