@@ -2,12 +2,13 @@
 
 For every benchmark item of n words, each window of n words of a text is compared with it.  A window's 64-bit SimHash is
 over its k-word shingles; the fingerprint is cut into BLOCKS blocks, and by the pigeonhole principle two fingerprints
-within RADIUS differ by at most RADIUS // BLOCKS bits in some block, so a table of each block's neighbourhood yields all
-items within RADIUS.  At similarity 0.8 the expected distance is 10 of 64 bits, its deviation 3; RADIUS is 23.
+within RADIUS differ by at most RADIUS // BLOCKS bits in some block.  So a table for each length and block, from block value to items,
+yields all items within RADIUS: those under the values near the window's own.  At similarity 0.8 the expected distance is 10 of 64 bits, its
+deviation 3; RADIUS is 23.
 Candidates are verified: sum of minima over sum of maxima of the shingle weights (their counts) must reach `least`.
 
-Only windows that hold a shingle of an item are fingerprinted: others have similarity 0 with every item.
-The items are broadcast, in groups of at most GROUP_BYTES of text each, so that what a task holds has a bound
+Windows without any shingle of an item of their length have similarity 0 with all of these and are not fingerprinted.
+The items are broadcast, in groups of at most GROUP_BYTES of text each (and one more item), so that what the driver and a task hold has a bound
 however large the benchmark is; each group is one pass over the texts.
 """
 
@@ -28,6 +29,8 @@ GROUP_BYTES = 8 << 20
 _BITS = 64 // BLOCKS
 _ONES = np.array([i.bit_count() for i in range(1 << 16)], np.uint8)
 _SHIFTS = np.arange(64, dtype=np.uint64)
+#: Shingles whose bits are held at once, 1 KB each.
+SPAN = 1 << 14
 
 
 def simhashes(shingles: np.ndarray, width: int) -> np.ndarray:
@@ -38,6 +41,16 @@ def simhashes(shingles: np.ndarray, width: int) -> np.ndarray:
     return np.packbits(most, axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
+def simhashes_at(shingles: np.ndarray, width: int, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(starts, their SimHashes) for the runs at sorted starts, a stretch of bounded length at a time."""
+    at = 0
+    while at < len(starts):
+        to = int(np.searchsorted(starts, starts[at] + SPAN))
+        here = starts[at:to]
+        yield here, simhashes(shingles[here[0] : here[-1] + width], width)[here - here[0]]
+        at = to
+
+
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _ONES[np.ascontiguousarray(a ^ b).view(np.uint16).reshape(len(a), 4)].sum(1)
 
@@ -46,92 +59,93 @@ class Items:
     """Benchmark items by number of words, with their fingerprints and block tables."""
 
     def __init__(self, ids: list[int], texts: list[str], k: int):
-        self.k, self.ids, self.bags, self.by_length = k, [], [], {}
-        known = [np.zeros(0, U64)]
+        self.k, self.ids, self.bags, of_length, shingles_of = k, [], [], {}, []
         for words in slices(pa.array(texts, pa.string()), bytes_map=LOWER):
             h = words.hashes()
             for d in range(len(words)):
                 own = h[words.at[d] : words.at[d + 1]]
                 if len(own):
-                    shingles = runs(own, min(k, len(own)))
-                    self.by_length.setdefault(len(own), []).append(len(self.ids))
+                    of_length.setdefault(len(own), []).append(len(self.ids))
+                    shingles_of.append(runs(own, min(k, len(own))))
                     self.ids.append(ids[words.first + d])
-                    self.bags.append(Counter(shingles.tolist()))
-                    known.append(shingles)
-        self.prints = {n: np.concatenate([simhashes(self._all(i), sum(self.bags[i].values())) for i in of]) for n, of in self.by_length.items()}
-        self.known = {}
-        for n, of in self.by_length.items():
-            self.known[n] = np.unique(np.concatenate([self._all(i) for i in of]))
+                    self.bags.append(Counter(shingles_of[-1].tolist()))
+        self.by_length = {n: np.array(of) for n, of in of_length.items()}
+        self.prints = {n: np.array([simhashes(shingles_of[i], len(shingles_of[i]))[0] for i in of], U64) for n, of in self.by_length.items()}
+        self.known = {n: np.unique(np.concatenate([shingles_of[i] for i in of])) for n, of in self.by_length.items()}
+        #: For each shingle size: a small table that rules out most shingles, all known ones, and for each of these the lengths of its items.
+        self.sizes = {}
         for size in {min(k, n) for n in self.by_length}:
-            mine = np.unique(np.concatenate([self.known[n] for n in self.by_length if min(k, n) == size]))
+            lengths = [n for n in self.by_length if min(k, n) == size]
+            pairs = np.unique(np.concatenate([np.stack([self.known[n], np.full(len(self.known[n]), n, U64)], 1) for n in lengths]), axis=0)
+            mine, first = np.unique(pairs[:, 0], return_index=True)
             seen = np.zeros(1 << 20, bool)
             seen[mine >> U64(44)] = True
-            self.known[-size] = (seen, mine)
-        self.tables = {}
+            self.sizes[size] = seen, mine, np.append(first, len(pairs)), pairs[:, 1].astype(np.int64)
+        self.tables = {n: [self._table(n, b) for b in range(BLOCKS)] for n in self.by_length}
 
-    def _all(self, i: int) -> np.ndarray:
-        return np.array(list(self.bags[i].elements()), U64)
+    def _table(self, n: int, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct values of a block (65,536 at most), where each one's items begin, and the items."""
+        value = self._block(self.prints[n], block)
+        order = np.argsort(value, kind="stable")
+        distinct, first = np.unique(value[order], return_index=True)
+        return distinct, np.append(first, len(order)), order
 
-    def block_table(self, n: int) -> list[list[np.ndarray]]:
-        """For each block, which of the items of n words are within RADIUS // BLOCKS of each value."""
-        if n not in self.tables:
-            prints = self.prints[n]
-            values = np.arange(1 << _BITS, dtype=np.uint32)
-            self.tables[n] = [np.packbits(np.stack([_ONES[values ^ np.uint32(int(p) >> (_BITS * b) & 0xFFFF)] <= RADIUS // BLOCKS for p in prints[:64]]), axis=0) if len(prints) <= 64 else None for b in range(BLOCKS)]
-        return self.tables[n]
+    @staticmethod
+    def _block(prints: np.ndarray, block: int) -> np.ndarray:
+        return ((prints >> U64(_BITS * block)) & U64((1 << _BITS) - 1)).astype(np.int64)
 
     def near(self, n: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) pairs within RADIUS."""
-        of, tables = self.prints[n], self.block_table(n)
-        pairs = []
-        for j, p in enumerate(of):
-            at = None
-            if tables[0] is not None:
-                hit = np.zeros(len(prints), bool)
-                for b in range(BLOCKS):
-                    value = (prints >> U64(_BITS * b)) & U64(0xFFFF)
-                    hit |= (tables[b][j // 8][value] >> (7 - j % 8)) & 1 == 1
-                at = np.flatnonzero(hit)
-            else:
-                hit = np.zeros(len(prints), bool)
-                for b in range(BLOCKS):
-                    hit |= _ONES[((prints ^ p) >> U64(_BITS * b)) & U64(0xFFFF)] <= RADIUS // BLOCKS
-                at = np.flatnonzero(hit)
-            at = at[distances(prints[at], np.full(len(at), p, U64)) <= RADIUS] if len(at) else at
-            pairs.append(np.stack([at, np.full(len(at), j)]))
-        both = np.concatenate(pairs, 1) if pairs else np.zeros((2, 0), np.int64)
-        return both[0], both[1]
-
-    def found(self, h: np.ndarray, shared: dict[int, np.ndarray], shingles: dict[int, np.ndarray], least: float) -> dict[int, tuple[float, int]]:
-        """For each item in a text of word hashes h: the largest similarity of a window, and where it starts."""
+        """(window, item of n words) pairs within RADIUS, sorted."""
+        of = self.prints[n]
+        pairs = [np.zeros(0, np.int64)]
+        for b in range(BLOCKS):
+            distinct, first, items = self.tables[n][b]
+            mine, window_of = np.unique(self._block(prints, b), return_inverse=True)
+            windows, bounds = np.argsort(window_of, kind="stable"), np.searchsorted(np.sort(window_of), np.arange(len(mine) + 1))
+            for v in range(len(mine)):  # windows that follow each other share most block values
+                hit = np.flatnonzero(_ONES[distinct ^ mine[v]] <= RADIUS // BLOCKS)
+                if len(hit):
+                    found = np.concatenate([items[first[x] : first[x + 1]] for x in hit.tolist()])
+                    here = windows[bounds[v] : bounds[v + 1]]
+                    some = (here[:, None] * len(of) + found[None, :]).ravel()
+                    pairs.append(some[distances(prints[some // len(of)], of[some % len(of)]) <= RADIUS])
+        both = np.unique(np.concatenate(pairs))
+        return both // len(of), both % len(of)
+
+    def lengths(self, hits: dict[int, np.ndarray]) -> np.ndarray:
+        """The lengths of the items that have one of these shingles (numbers of known ones, by size)."""
+        out = [np.zeros(0, np.int64)]
+        for size, known in hits.items():
+            _, _, first, lengths = self.sizes[size]
+            out += [lengths[first[i] : first[i + 1]] for i in np.unique(known).tolist()]
+        return np.unique(np.concatenate(out))
+
+    def found(self, own: dict[int, np.ndarray], hits: dict[int, tuple[np.ndarray, np.ndarray]], least: float) -> dict[int, tuple[float, int]]:
+        """For each item in a text: the largest similarity of a window, and where it starts.
+
+        own: the text's shingles by size.  hits: the places of known ones and which they are.
+        """
         best: dict[int, tuple[float, int]] = {}
-        for n, of in self.by_length.items():
+        for n in self.lengths({size: which for size, (_, which) in hits.items()}).tolist():
             size = min(self.k, n)
-            own, width = shingles[size], n - size + 1
-            hits = shared[size]
-            windows = len(h) - n + 1
-            if windows <= 0 or not len(hits):
-                continue
-            known = self.known[n]
-            hits = hits[known[np.minimum(np.searchsorted(known, own[hits]), len(known) - 1)] == own[hits]]
-            if len(hits) < 1:
-                continue
-            # a window needs shared shingles for at least `least` of its own: counts with repeats bound the sum of minima from above
-            mark = np.zeros(len(own) + 1, np.int64)
-            mark[hits + 1] = 1
-            total = np.cumsum(mark)
-            starts = np.flatnonzero(total[width : width + windows] - total[:windows] >= max(1, int(np.ceil(least * width - 1e-9))))
-            if not len(starts):
+            shingles, width = own[size], n - size + 1
+            windows = len(shingles) - width + 1
+            if windows <= 0:
                 continue
-            first = starts[0]
-            prints = simhashes(own[first : starts[-1] + width], width)[starts - first]
-            for w, j in zip(*(x.tolist() for x in self.near(n, prints)), strict=True):
-                i, at = of[j], int(starts[w])
-                bag = Counter(own[at : at + width].tolist())
-                low = sum((bag & self.bags[i]).values())
-                likeness = low / (sum(bag.values()) + sum(self.bags[i].values()) - low)
-                if likeness >= least and likeness > best.get(i, (0.0, 0))[0]:
-                    best[i] = likeness, at
+            at, known = hits[size][0], self.known[n]
+            at = at[known[np.minimum(np.searchsorted(known, shingles[at]), len(known) - 1)] == shingles[at]]
+            mark = np.zeros(windows + 1, np.int64)
+            np.add.at(mark, np.maximum(at - width + 1, 0), 1)
+            np.add.at(mark, np.minimum(at + 1, windows), -1)
+            starts = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
+            for here, prints in simhashes_at(shingles, width, starts):
+                for w, j in zip(*(x.tolist() for x in self.near(n, prints)), strict=True):
+                    i, at = int(self.by_length[n][j]), int(here[w])
+                    bag = Counter(shingles[at : at + width].tolist())
+                    low = sum((bag & self.bags[i]).values())
+                    likeness = low / (2 * width - low)
+                    if likeness >= least and likeness > best.get(i, (0.0, 0))[0]:
+                        best[i] = likeness, at
         return best
 
 
@@ -150,23 +164,23 @@ def _groups(benchmark: DataFrame) -> Iterator[tuple[list[int], list[str]]]:
 
 
 def _matches(items: Items, texts: pa.Array, least: float) -> Iterator[dict[int, tuple[float, int]]]:
-    sizes = sorted(-n for n in items.known if n < 0)
     for words in slices(texts, bytes_map=LOWER):
         h, at = words.hashes(), words.at
         shingles, shared = {}, {}
-        for size in sizes:
-            seen, known = items.known[-size]
+        for size, (seen, known, _, _) in items.sizes.items():
             own = shingles[size] = runs(h, size)
             maybe = np.flatnonzero(seen[own >> U64(44)])
-            k = np.minimum(np.searchsorted(known, own[maybe]), len(known) - 1)
-            shared[size] = maybe[known[k] == own[maybe]]
+            which = np.minimum(np.searchsorted(known, own[maybe]), len(known) - 1)
+            hit = known[which] == own[maybe]
+            shared[size] = maybe[hit], which[hit]
         for d in range(len(words)):
             a, b = at[d], at[d + 1]
             hits = {}
-            for size in sizes:
-                lo, hi = np.searchsorted(shared[size], [a, max(a, b - size + 1)])
-                hits[size] = shared[size][lo:hi] - a
-            yield items.found(h[a:b], hits, {size: shingles[size][a : max(a, b - size + 1)] for size in sizes}, least) if any(map(len, hits.values())) else {}
+            for size, (places, which) in shared.items():
+                lo, hi = np.searchsorted(places, [a, max(a, b - size + 1)])
+                if hi > lo:
+                    hits[size] = places[lo:hi] - a, which[lo:hi]
+            yield items.found({size: shingles[size][a : max(a, b - size + 1)] for size in hits}, hits, least) if hits else {}
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame:
