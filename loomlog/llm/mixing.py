@@ -8,10 +8,10 @@ its interval crosses.  The order by size stratifies the sample, so the taken siz
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomlog.llm.common import cut, ranked
+from loomlog.llm.common import kept, ranked
 
 WEIGHTS = (5, 2, 1)
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,7 +29,7 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3)
     """
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int"))
-    known = cut(ranked(sums, [F.col("source").asc_nulls_last()]).withColumn("w", weight).withColumn("cap", most * F.col("source_size")))
+    known = kept(ranked(sums, [F.col("source").asc_nulls_last()]).withColumn("w", weight).withColumn("cap", most * F.col("source_size")))
     left = weight_left = None
     capped = F.lit(False)
     while True:
@@ -50,7 +50,7 @@ def offset(source: Column, seed: int = 0) -> Column:
 
 
 def copies(sized: DataFrame, seed: int = 0) -> DataFrame:
-    """sized (doc_id, source, size, ...) with source_size, target and copies.
+    """sized (doc_id, source, size, ...; read twice, so pass a kept table) with source_size, target and copies.
 
     Null sources form one source; a source of size 0 gets no copies; rows alike in (size, doc_id) are interchangeable.
     """
@@ -66,23 +66,29 @@ def copies(sized: DataFrame, seed: int = 0) -> DataFrame:
 def stage(docs: DataFrame, seed: int = 0) -> DataFrame:
     """The mix: every document's row as often as it is taken.
 
-    The copies of (doc_id, size) are dealt by key: rows alike in these share one number, the largest.
+    Rows alike in doc_id, source and size share their copies out evenly, in the order of a hash of the text.
     """
-    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
-    taken = copies(sized, seed).groupBy("doc_id", "source", "size").agg(F.max("copies").alias("_copies"))
-    taken = taken.where("_copies > 0").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), "_copies")
+    sized = kept(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))
+    taken = copies(sized, seed).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
+    taken = kept(taken.where("_copies > 0").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), "_copies", "_rows"))
     names = docs.columns
-    key = {"_doc": F.col("doc_id"), "_source": F.col("source"), "_size": n_words(F.col("text"))}
+    key = {"_doc": F.col("doc_id"), "_source": F.col("source"), "_size": n_words(F.col("text")), "_text": F.xxhash64("text")}
     rows = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), *(v.alias(k) for k, v in key.items()))
     same = F.col("_doc").eqNullSafe(F.col("_d")) & F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n"))
-    mixed = rows.join(taken, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    mixed = rows.join(taken.where("_rows = 1"), same)
+    if not taken.where("_rows > 1").isEmpty():
+        place = F.row_number().over(Window.partitionBy("_doc", "_source", "_size").orderBy("_text"))
+        several = rows.join(taken.where("_rows > 1"), same).withColumn("_place", place)
+        share = F.expr("_copies div _rows + cast(_place <= _copies % _rows as bigint)")
+        mixed = mixed.unionByName(several.withColumn("_copies", share).drop("_place").where("_copies > 0"))
+    mixed = mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
     return mixed.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op5: doc_id, size, source_size, target, taken."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    mixed = copies(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))
+    mixed = copies(kept(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
