@@ -104,21 +104,25 @@ def fingerprint(df: DataFrame, columns: list[str]) -> Column:
 
 
 def canonical(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """df with layout (its name; null: no mapping has this fingerprint) and turns (null if there is no layout).
+    """df with layout (its name; null: no mapping has this fingerprint) and turns (null if there is no layout); columns of these names are replaced.
 
     Rows are never dropped; null roles and texts of messages are empty; a field that no layout names makes the
     fingerprint unknown, so pass in `columns` those that hold the record.
     """
     columns = columns or df.columns
     here = {n for f in df.schema.fields if f.name in columns for n in _names(f.dataType, f.name)}
-    hashed, name, turns = F.col("_fingerprint"), F.lit(None).cast("string"), F.lit(None).cast(TURN)
+    free = "_fingerprint"
+    while free in df.columns:
+        free += "_"
+    hashed, name, turns = F.col(free), F.lit(None).cast("string"), F.lit(None).cast(TURN)
     for layout in LAYOUTS:
         for shape in layout.shapes():
             if shape <= here:
                 known = hashed == F.xxhash64(F.lit(",".join(sorted(shape))))
                 name = F.when(known, F.lit(layout.name)).otherwise(name)
                 turns = F.when(known, layout.turns(shape).cast(TURN)).otherwise(turns)
-    return df.withColumn("_fingerprint", fingerprint(df, columns)).select(*(c for c in df.columns if c not in ("layout", "turns")), name.alias("layout"), turns.alias("turns"))
+    hashes = df.withColumn(free, fingerprint(df, columns))
+    return hashes.select(*(F.col(f"`{c}`") for c in df.columns if c not in ("layout", "turns")), name.alias("layout"), turns.alias("turns"))
 
 
 # ---------------------------------------------------------------- template
@@ -149,7 +153,8 @@ def unescaped(text: Column) -> Column:
 
 
 def formatted(df: DataFrame) -> DataFrame:
-    """df (with turns) with segments (text, loss: whether it is under the loss mask) and formatted, all their text in a row."""
+    """df (with turns) with segments (text, loss: whether it is under the loss mask) and formatted, all their text in a row; columns of these
+    names are replaced."""
 
     def segments(t: Column) -> Column:
         part = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
@@ -182,14 +187,41 @@ def from_rows(rows: DataFrame, key: str = "conv_id") -> DataFrame:
     return listed.withColumn("turns", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))))
 
 
+def laid_out(records: DataFrame) -> DataFrame:
+    """Records (conv_id, turns) in the layouts that their roles allow, one for each record: as prompt and response or completion, with or without a
+    system text, as conversations between human and gpt, as messages, or as they are.  The other fields are null.
+    """
+    roles, here = F.transform("turns", lambda t: t["role"]), lambda *r: F.array(*map(F.lit, r))
+    text = lambda role: F.try_element_at(F.transform(F.filter("turns", lambda t: t["role"] == role), lambda t: t["text"]), F.lit(1))
+    pair = (roles == here("user", "assistant")) | (roles == here("system", "user", "assistant"))
+    even = F.col("conv_id") % 2 == 0
+    two = F.forall(roles, lambda r: r.isin("user", "assistant"))
+    plain = F.forall(roles, lambda r: ~r.isin(*(old for old, _ in _SPEAKERS)))
+    kind = F.when(pair & even, "response").when(pair, "completion").when(two, "conversations").when(plain, "messages").otherwise("turns")
+    only = lambda k, c: F.when(F.col("_kind") == k, c)
+    says = lambda t: F.struct(F.when(t["role"] == "user", "human").otherwise("gpt").alias("from"), t["text"].alias("value"))
+    fields = F.col("_kind").isin("response", "completion")
+    return records.withColumn("_kind", kind).select(
+        "conv_id", only("turns", F.col("turns")).alias("turns"), only("conversations", F.transform("turns", says)).alias("conversations"),
+        only("messages", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content")))).alias("messages"),
+        F.when(fields, text("system")).alias("system"), F.when(fields, text("user")).alias("prompt"),
+        only("response", text("assistant")).alias("response"), only("completion", text("assistant")).alias("completion"),
+    )
+
+
 PROBE = "</s>[INST] ok [/INST]"
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """op2: what is read back from the formatted conversations."""
+    """op2: what is read back from the formatted conversations.
+
+    The table has one layout, so that its records are laid out in several first: the fingerprints then select the mapping that
+    brings each back to turns.
+    """
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
-    out = formatted(canonical(from_rows(rows.union(probe)), ["turns"])).select("conv_id", "segments", "formatted")
+    records = laid_out(from_rows(rows.union(probe)))
+    out = formatted(canonical(records, records.columns[1:])).select("conv_id", "segments", "formatted")
     back = out.select("conv_id", "formatted", parsed(F.col("formatted")).alias("back"), unescaped(F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: s["text"]), "")).alias("loss"))
     digest = F.sha2(F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "").cast("binary"), 256)
     return back.select(
