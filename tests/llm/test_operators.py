@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomlog.llm import chat_format, decontaminate, fingerprints, line_dedup, mixing, near_dedup, quality, sharding, substring_dedup, toxicity
-from loomlog.llm.common import slices
+from loomlog.llm.common import folded, runs, slices, spread_join
 from loomlog.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -74,6 +74,44 @@ def test_words_and_hashes():
         assert found == [WORD.findall(t or "") for t in texts] and len(set(hashes.values())) == len(hashes)
 
 
+def doubled(a, b, n):
+    """The Thue-Morse word of a and b of n letters, and its complement: equal under any polynomial hash modulo 2^64 from 2^10 letters on."""
+    x = [0]
+    while len(x) < n:
+        x += [1 - v for v in x]
+    return [(a, b)[v] for v in x], [(b, a)[v] for v in x]
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 8192])
+def test_hashes_do_not_cancel_out(n):
+    one, two = doubled("a", "b", n)
+    letters = next(iter(slices(pa.array(["".join(one) + " " + "".join(two)])))).hashes()
+    assert letters[0] != letters[1]
+    words = [next(iter(slices(pa.array([" ".join(w)])))).hashes() for w in (one, two)]
+    assert runs(words[0], n)[0] != runs(words[1], n)[0] and len({int(folded(w, np.array([0]), np.array([n]))[0]) for w in words}) == 2
+    texts = pa.array(["".join(one), "".join(two), "\n".join(one), "\n".join(two)])
+    prints = fingerprints.as_hex(fingerprints.vectors(texts))
+    assert prints[0] != prints[1] and prints[2] == prints[3]  # the last two are equal as multisets of lines
+
+
+def test_long_words_are_hashed_whole():
+    rng = random.Random(1)
+    words = ["x" * n for n in range(1, 300)] + ["".join(rng.choice("ab") for _ in range(rng.randint(1, 900))) for _ in range(400)]
+    words += [w[:i] + "c" + w[i + 1 :] for w in words[-40:] for i in (0, len(w) // 2, len(w) - 1)]
+    h = next(iter(slices(pa.array([" ".join(words)])))).hashes()
+    seen = {}
+    assert all(seen.setdefault(w, x) == x for w, x in zip(words, h, strict=True)) and len(set(h.tolist())) == len(set(words))
+
+
+def test_hot_keys_meet_their_rows(spark, tmp_path):
+    """More keys above the threshold than not, and the other way round: the join is the plain one."""
+    rows = spark.createDataFrame([(i % 7 if i < 700 else i, i) for i in range(1000)], "k bigint, v bigint")
+    keyed = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("least"))
+    for total in (1000, 3_000_000, 0):
+        got = spread_join(rows, keyed, ["k"], "n", total)
+        assert got.columns == ["k", "v", "n", "least"] and Counter(map(tuple, got.collect())) == Counter(map(tuple, rows.join(keyed, "k").select(*got.columns).collect()))
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 340)] + [(500, i) for i in range(501, 540)]
@@ -119,6 +157,41 @@ def test_sharding(docs, data, law):
     assert order == sorted(order)
 
 
+def test_sharding_order_against_brute_force(docs, data):
+    """Rows in the order of (place, doc_id, ...), cut into eight runs; places from cells that are counted here."""
+    small = sharding.measured(docs)
+    cuts = sharding.quantiles(small, sharding.DIMS)
+    out = sharding.assign(small, sharding.DIMS, 8).collect()
+    cell = lambda c, v: max([n for x, n in cuts[c] if v is not None and x <= v], default=0)
+    cells = np.array([[cell(c, r[c]) for c in sharding.DIMS] for r in out])
+    assert sharding.axes_to_place(cells, sharding.BITS).tolist() == [r.place for r in out]
+    order = sorted(out, key=lambda r: (r.place, r.doc_id))
+    n = len(order)
+    for i, r in enumerate(order):
+        assert r.shard == i * 8 // n or order[i - 1].doc_id == r.doc_id or order[min(i + 1, n - 1)].doc_id == r.doc_id
+    for c in ("lang", "source"):
+        values = sorted(x[2 if c == "lang" else 3] for x in data[0] if x[2 if c == "lang" else 3] is not None)
+        assert [v for v, _ in cuts[c]] == sorted(set(values)) and [k for _, k in cuts[c]] == [values.index(v) * 32 // len(values) for v in sorted(set(values))]
+
+
+def test_shards_can_be_skipped_in_every_dimension(spark):
+    """One huge row, long common prefixes and a hot source: quantiles still divide each dimension."""
+    rng = random.Random(3)
+    rows = [(i, "a" * (10**6 if i == 5 else rng.randint(1, 3000)), rng.choice("abcd"), "https://example.org/a/long/prefix/" + ("hot" if i % 3 == 0 else str(rng.randrange(30))), 0) for i in range(1600)]
+    out = sharding.stage(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint"))
+    told = sharding.manifest(out.withColumn("size", F.octet_length("text") + 1), sharding.DIMS).collect()
+    assert len(told) == 8 and max(r.rows for r in told) - min(r.rows for r in told) <= 1
+    skipped = {c: np.mean([not (r[f"min_{c}"] <= v <= r[f"max_{c}"]) for r in told for v in {x[i] if c != "size" else len(x[1]) + 1 for x in rows}]) for c, i in (("lang", 2), ("source", 3), ("size", 0))}
+    assert all(share > 0.3 for share in skipped.values()), skipped
+
+
+def test_sharding_of_no_rows(docs):
+    for law in ("rows", "bytes"):
+        assert sharding.assign(sharding.measured(docs.limit(0)), sharding.DIMS, 8, law).count() == 0
+    with pytest.raises(ValueError):
+        sharding.assign(sharding.measured(docs), sharding.DIMS, 8, "luck")
+
+
 def test_sharding_stage_keeps_rows(docs, data):
     out = sharding.stage(docs)
     assert out.columns == [c for c in docs.columns if c != "shard"] + ["place", "shard"]
@@ -172,9 +245,39 @@ def test_layouts(spark):
     assert got[6][0] == "question_answer" and got[7] == got[8] == got[9] == (None, None)
 
 
+def test_layouts_of_the_query_come_back(spark):
+    turns = lambda *t: [tuple(x) for x in t]
+    rows = [
+        (1, turns(("user", "q"), ("assistant", ""))), (2, turns(("user", ""), ("assistant", "a"))), (3, turns(("system", "s"), ("user", "q"), ("assistant", "a"))), (4, turns(("system", ""), ("user", "q"), ("assistant", "a"))),
+        (5, turns(("user", "q"), ("user", "r"))), (6, turns(("tool", "t"), ("user", "q"))), (7, turns(("human", "q"), ("gpt", "a"))), (8, turns(("", ""))), (9, turns(("assistant", "a"), ("user", "q"))),
+    ]
+    records = spark.createDataFrame(rows, "conv_id bigint, turns array<struct<role:string,text:string>>")
+    laid = chat_format.laid_out(records)
+    got = {r.conv_id: (r.layout, [tuple(t) for t in r.turns]) for r in chat_format.canonical(laid, laid.columns[1:]).collect()}
+    assert {k: v[1] for k, v in got.items()} == dict(rows)
+    assert {k: v[0] for k, v in got.items()} == {1: "prompt_completion", 2: "prompt_response", 3: "prompt_completion", 4: "prompt_response", 5: "conversations", 6: "messages", 7: "turns", 8: "messages", 9: "conversations"}
+    assert chat_format.canonical(laid.limit(0), laid.columns[1:]).count() == 0 and chat_format.formatted(records.limit(0)).count() == 0
+
+
+def test_chat_columns_of_other_names_stay(spark):
+    df = spark.createDataFrame([(1, [("user", "q")], "mine", "old", "old", 1, 2)], "conv_id bigint, turns array<struct<role:string,text:string>>, _fingerprint string, layout string, formatted string, segments int, `a.b` int")
+    got = chat_format.formatted(chat_format.canonical(df, ["turns"]))
+    r = got.first()
+    assert sorted(got.columns) == sorted(df.columns) and r["_fingerprint"] == "mine" and r.layout == "turns" and r.formatted == "<|im_start|>user\nq<|im_end|>\n" and r["a.b"] == 2
+
+
 # ---------------------------------------------------------------- 3
 
 
+def test_margins_against_brute_force():
+    rng = np.random.default_rng(2)
+    model = toxicity.Model(0.3, np.arange(6, dtype=np.uint64), rng.normal(size=6), rng.normal(size=(6, 4)))
+    sets = [[0, 2, 5], [], [1], [0, 1, 2, 3, 4, 5]]
+    got = model.margins(np.repeat(np.arange(4), [len(s) for s in sets]), np.array([t for s in sets for t in s]), 4)
+    for s, m in zip(sets, got, strict=True):
+        assert m == pytest.approx(0.3 + sum(model.weights[i] for i in s) + sum(model.factors[i] @ model.factors[j] for i in s for j in s if i < j))
+
+
 def test_machine_learns_a_pair():
     """Label 1 only where two terms meet: no additive weights can tell."""
     rng = np.random.default_rng(1)
@@ -204,6 +307,11 @@ def test_toxicity(spark, docs):
     none = toxicity.train(docs, labels.limit(0))
     assert all(0 <= r.score < 0.5 for r in toxicity.score(docs.select("doc_id", "text"), none).collect())
     assert toxicity.score(docs.select("doc_id", "text").limit(0), model).count() == 0
+    clash = toxicity.score(docs.select("doc_id", "text", F.lit("mine").alias("score"), F.lit(1).alias("_s")), model)
+    assert clash.columns == ["doc_id", "_s", "score"] and dict(clash.dtypes)["score"] == "double"
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "scumbag " * 300_000), (None, "scumbag"), (None, "scumbag")], "doc_id bigint, text string")
+    scores = [(r.doc_id, r.score) for r in toxicity.score(odd, model).collect()]
+    assert len(scores) == 5 and len({s for i, s in scores if i in (1, 2)}) == 1 and all((s > 0.5) == (i not in (1, 2)) for i, s in scores)
 
 
 # ---------------------------------------------------------------- 4
@@ -245,6 +353,28 @@ def test_simhash_misses_nothing_within_the_radius():
     assert set(found.tolist()) == {i for i, f in enumerate(flips) if f.bit_count() <= decontaminate.RADIUS}
 
 
+def test_block_tables_find_all_within_the_radius():
+    """300 items of one length, and half of the windows near one of them, against every pair."""
+    rng = np.random.default_rng(1)
+    items = decontaminate.Items(list(range(300)), [" ".join(f"w{i}x{j}" for j in range(12)) for i in range(300)], 5)
+    of = items.prints[12]
+    prints = np.concatenate([rng.integers(0, 1 << 63, 200, dtype=np.uint64), of[:200] ^ np.array([sum(1 << int(b) for b in rng.choice(64, k % 26, replace=False)) for k in range(200)], np.uint64)])
+    every = {(w, j) for w, p in enumerate(prints.tolist()) for j, q in enumerate(of.tolist()) if (p ^ q).bit_count() <= decontaminate.RADIUS}
+    assert set(zip(*(x.tolist() for x in items.near(12, prints)), strict=True)) == every and len(every) > 150
+
+
+def test_decontamination_of_a_very_long_text(spark):
+    """Windows are fingerprinted in stretches of bounded length: a leak on both sides of a border is found in a text of 60,000 words."""
+    rng = random.Random(12)
+    leak = [f"l{i}" for i in range(30)]
+    words = [rng.choice(leak) if i % 40 == 0 else f"w{rng.randrange(900)}" for i in range(60_000)]
+    for at in (0, decontaminate.SPAN - 12, 50_000, 60_000 - 30):
+        words[at : at + 30] = leak
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(leak[:20]))], "doc_id bigint, text string")
+    got = decontaminate.contamination(docs, spark.createDataFrame([(7, " ".join(leak))], "item_id bigint, text string")).collect()
+    assert [(r.doc_id, r.item_id, r.similarity, r["at"]) for r in got] == [(1, 7, 1.0, 0)]
+
+
 # ---------------------------------------------------------------- 5
 
 
@@ -278,8 +408,18 @@ def test_mixing(docs, data):
     want = Counter()
     for r in out:
         want[r.doc_id] += r.copies
-    got = Counter(r.doc_id for r in mixed.collect())
-    assert all(got[d] == n for d, n in want.items() if d != 9)  # row 9 is repeated: both get the larger number
+    assert Counter(r.doc_id for r in mixed.collect()) == +want  # row 9 is repeated: its rows share their copies
+
+
+def test_mixing_shares_copies_among_repeated_rows(spark):
+    """Without doc_id, rows alike in source and size are told apart by nothing: they get as many copies as systematic sampling gives them together."""
+    rows = [(None, f"w{i % 5} x y", "en", "a", 0) for i in range(50)] + [(i, "one two", "en", "b", 0) for i in range(400)] + [(None, None, None, None, None)] * 3
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    sized = df.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"))
+    want = {r.source: r.n for r in mixing.copies(sized).groupBy("source").agg(F.sum("copies").alias("n")).collect()}
+    got = Counter(r.source for r in mixing.stage(df).collect())
+    per = Counter(r.text for r in mixing.stage(df).where("source = 'a'").collect())
+    assert got["a"] == want["a"] > 50 and got["b"] == want["b"] and got[None] == want[None] == 0 and max(per.values()) - min(per.values()) <= 10
 
 
 # ---------------------------------------------------------------- 6
@@ -293,31 +433,70 @@ def test_patience_alignment():
     assert line_dedup.aligned(np.array([0, 1]), np.array([0, 2])).tolist() == [] and line_dedup.aligned(a, a[:0]).tolist() == []
 
 
-def test_line_dedup(spark, docs):
+def test_patience_alignment_between_anchors():
+    assert line_dedup.aligned([1, 10, 7, 8, 11, 2, 12, 7, 8], [1, 20, 7, 8, 21, 2, 22]).tolist() == [0, 2, 3, 5]
+    assert line_dedup.aligned([5, 5, 6, 6, 1], [9, 6, 6, 9, 5]).tolist() == [1, 2]  # no line is unique: the rarest block
+    assert line_dedup.aligned([3, 0, 3], [0, 3, 0]).tolist() == [1]  # blank lines never count
+
+
+def test_alignments_are_common_subsequences():
+    rng = random.Random(7)
+    for _ in range(300):
+        old, new = ([rng.randrange(12) for _ in range(rng.randint(0, 25))] for _ in range(2))
+        pairs = line_dedup.alignment(old, new)
+        assert all(new[j] == old[i] for j, i in pairs) and all(a[0] < b[0] and a[1] < b[1] for a, b in zip(pairs, pairs[1:], strict=False))
+        assert pairs or not (set(old) & set(new) - {0})
+        assert line_dedup.alignment(old, old) == [(k, k) for k in range(len(old))]
+
+
+def test_line_dedup(spark, docs, data):
     rows = [(1, "alpha\nbeta\n\ngamma\ndelta"), (2, "new\nbeta\ngamma\nother"), (3, "alpha\nbeta\n\ngamma\ndelta"), (4, None), (5, ""), (6, " \n \n"), (7, "solo"), (8, "beta"), (8, "beta")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    out = line_dedup.removals(df)
+    out = line_dedup.applied(df)
     got = sorted((r.doc_id, r.n_lines, r.removed, r.olds) for r in out.collect())
-    assert got[:2] == [(1, 4, [], []), (2, 4, [1, 2], [1])] and got[2] == (3, 4, [0, 1, 2, 3], [1]) and got[3:7] == [(4, 0, [], []), (5, 0, [], []), (6, 2, [], []), (7, 1, [], [])]
-    assert got[7:] == [(8, 1, [0], [1])] * 2
-    kept = {r.doc_id: r.t for r in df.join(out, "doc_id").select("doc_id", line_dedup.without(F.col("text"), F.col("removed")).alias("t")).collect()}
-    assert kept[2] == "new\nother" and kept[3] == "" and kept[1] == "alpha\nbeta\ngamma\ndelta"
-    assert line_dedup.removals(docs).count() == docs.count() and line_dedup.removals(df.limit(0)).count() == 0
+    assert got[:2] == [(1, 4, [], []), (2, 4, [1, 2], [1])] and got[2] == (3, 4, [0, 1, 2, 3], [1, 2]) and got[3:7] == [(4, 0, [], []), (5, 0, [], []), (6, 2, [], []), (7, 1, [], [])]
+    assert got[7:] == [(8, 1, [0], [1, 2])] * 2
+    left = {r.doc_id: r.t for r in df.join(out, "doc_id").select("doc_id", line_dedup.without(F.col("text"), F.col("removed")).alias("t")).collect()}
+    assert left[2] == "new\nother" and left[3] == "" and left[1] == "alpha\nbeta\ngamma\ndelta"
+    assert line_dedup.applied(docs).count() == len(data[0]) and line_dedup.applied(df.limit(0)).count() == 0
+
+
+def test_line_dedup_against_brute_force(spark, monkeypatch):
+    """Lines in up to 130 documents, several to one doc_id, none to some: each document against the first two that share a line with it."""
+    monkeypatch.setattr(line_dedup, "LINKS", 10)
+    rng = random.Random(10)
+    lines = [f"line {i}" for i in range(60)]
+    texts = ["\n".join(rng.choice(lines) if rng.random() < 0.6 else f"own {i} {j}" for j in range(rng.randint(0, 8))) for i in range(130)]
+    texts += ["\n".join(["frequent one", "frequent two", "", f"mine {i}", rng.choice(lines)]) for i in range(70)]
+    rows = [(None if i % 11 == 0 else i // 2, t) for i, t in enumerate(texts)] + [(None, None), (77, texts[154]), (None, "frequent two\nfrequent one")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    key = {(r.doc_id, r.text): (-(1 << 63) if r.doc_id is None else r.doc_id, r.t) for r in df.withColumn("t", F.xxhash64(F.coalesce("text", F.lit("")))).collect()}
+    number = {}
+    listed = {k: [number.setdefault(x, len(number) + 1) for x in (t or "").split("\n") if x] for (_, t), k in key.items()}
+    want = {}
+    for k, new in listed.items():
+        olds = set()
+        for line in set(new):
+            olds |= set(sorted(o for o, x in listed.items() if line in x)[:2])
+        hits = {o: line_dedup.aligned(listed[o], new).tolist() for o in olds if o < k}
+        want[k] = (len(new), sorted({j for h in hits.values() for j in h}), sorted({o[0] for o, h in hits.items() if h and o[0] != -(1 << 63)}))
+    got = Counter((r.doc_id, r.n_lines, tuple(r.removed), tuple(r.olds)) for r in line_dedup.applied(df).collect())
+    assert got == Counter((d, want[key[d, t]][0], tuple(want[key[d, t]][1]), tuple(want[key[d, t]][2])) for d, t in rows)
 
 
 def test_line_dedup_of_many_copies(spark):
-    """Lines in more than `rare` documents still link a group of copies, and only to its first."""
+    """A frequent line links all its documents, each to the first two only."""
     df = spark.createDataFrame([(i, f"x y\nhello there\nown {i}") for i in range(80)], "doc_id bigint, text string")
-    pairs = line_dedup.pairs(line_dedup.line_lists(df), rare=5).collect()
-    assert sorted((r.old, r.new) for r in pairs) == [(0, i) for i in range(1, 80)]
-    assert sorted(r.removed for r in line_dedup.removals(df, rare=5).collect()) == [[]] + [[0, 1]] * 79
+    pairs = line_dedup.pairs(line_dedup.line_lists(df)).collect()
+    assert sorted((r.od, r.nd) for r in pairs) == [(0, i) for i in range(1, 80)] + [(1, i) for i in range(2, 80)]
+    assert sorted(r.removed for r in line_dedup.removals(df).collect()) == [[]] + [[0, 1]] * 79
 
 
 def test_line_dedup_of_frequent_lines_beside_a_rarer_one(spark):
     """A passage in 80 documents goes from all but the first, although each also shares a line with one other document."""
     rows = [(i, f"stray {i}") for i in range(80)] + [(100 + i, f"stray {i}\nx y\nhello there") for i in range(80)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = {r.doc_id: r.removed for r in line_dedup.removals(df).collect()}
+    got = {r.d: r.removed for r in line_dedup.removals(df).collect()}
     assert got == {i: [] for i in range(80)} | {100: [0]} | {i: [0, 1, 2] for i in range(101, 180)}
 
 
@@ -350,9 +529,76 @@ def test_substring_dedup(spark, docs, data):
     assert substring_dedup.removed(docs.withColumn("doc_id", F.lit(None).cast("long"))).count() == len(data[0])
 
 
+def test_substring_dedup_without_doc_ids_and_with_repeated_ones(spark):
+    """Texts that only share a doc_id, or have none, lose the words that repeat, and no others."""
+    rng = random.Random(13)
+    say = lambda n: [f"w{rng.randrange(2000)}" for _ in range(n)]
+    block = say(30)
+    rows = [(rng.choice([None, 1, 1, 2, i]), " ".join(say(rng.randint(0, 40)) + (block if i % 2 else []) + say(rng.randint(0, 40)))) for i in range(40)]
+    rows += rows[:6] + [(None, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    hashed = {(r.doc_id, r.text or ""): r.t for r in df.withColumn("t", F.xxhash64(F.coalesce("text", F.lit("")))).collect()}
+    order = sorted(hashed, key=lambda k: (-(1 << 63) if k[0] is None else k[0], hashed[k]))
+    seen, want = set(), {}
+    for d, t in order:
+        w, gone = t.split(), set()
+        for s in range(len(w) - 19):
+            if tuple(w[s : s + 20]) in seen:
+                gone |= set(range(s, s + 20))
+            seen.add(tuple(w[s : s + 20]))
+        want[d, t] = (len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone))
+    got = Counter(tuple(r) for r in substring_dedup.removed(df).collect())
+    assert got == Counter((d, *want[d, t or ""]) for d, t in rows)
+
+
+def test_maximal_repeats(spark):
+    a, b = [f"a{i}" for i in range(70)], [f"b{i}" for i in range(30)]
+    rows = [(1, " ".join(a)), (2, " ".join(["x", *a[10:60], "y", *b])), (3, " ".join([*b, "z", *a[:25]]))]
+    found = substring_dedup.maximal(substring_dedup.repeats(spark.createDataFrame(rows, "doc_id bigint, text string")))
+    assert sorted((r.d, r.a, r.b, r.sd, r.sa) for r in found.collect()) == [(2, 1, 51, 1, 10), (3, 0, 30, 2, 52), (3, 31, 56, 1, 0)]
+
+
 # ---------------------------------------------------------------- 8
 
 
+@pytest.mark.parametrize("parts", [1, 4, 200, 1000])
+def test_near_dedup_does_not_depend_on_partitions(spark, parts):
+    """Six pairs, a family of 60 and texts alone: one result at any number of partitions."""
+    rng = random.Random(21)
+    say = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    rows, want, base = [], {}, say(90)
+    for i in range(6):
+        w = say(60)
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join([*w, "end"]))]
+        want |= {2 * i: 2 * i, 2 * i + 1: 2 * i}
+    for i in range(60):
+        w = list(base)
+        w[rng.randrange(90)] = f"e{i}"
+        rows.append((100 + i, " ".join(w)))
+        want[100 + i] = 100
+    for i in range(20):
+        rows.append((200 + i, " ".join(say(50))))
+        want[200 + i] = 200 + i
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        forest = near_dedup.candidates(near_dedup.signatures(df, 4).select("doc_id", "n", "sig")).collect() if parts > 200 else None
+        got = None if parts > 200 else {r.doc_id: r.component_id for r in near_dedup.classes(df, 4, 80).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    if got is None:  # the forest alone: all else is joins by key
+        alone = near_dedup.candidates(near_dedup.signatures(df, 4).select("doc_id", "n", "sig")).collect()
+        assert sorted(map(tuple, forest)) == sorted(map(tuple, alone)) and len(forest) > 60
+    else:
+        assert got == want
+
+
+def test_orders_take_values_of_their_own():
+    firsts = near_dedup._TAKES[:, : near_dedup.RUN].ravel().tolist()
+    assert sorted(firsts) == list(range(near_dedup.VALUES)) and all(len(set(t)) == near_dedup.DEPTH for t in near_dedup._TAKES.tolist())
+
+
 @pytest.mark.parametrize("k", [4, 5])
 def test_near_dedup_dense_family(spark, k):
     """400 texts at pairwise similarity 0.787 to 0.789; 40 pairs of them share one shingle more: 0.802 to 0.803."""
@@ -435,7 +681,22 @@ def test_fingerprints(docs, data):
         assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
         assert r.n_chars < 400 or r.near_edited > 0.4
     assert all(len(v) == 1 for v in by.values())
-    assert fingerprints.compared(docs.limit(0)).count() == 0 and fingerprints.compared(docs.limit(1)).first().near_next == 1.0
+    assert fingerprints.compared(docs.limit(0)).count() == 0 and fingerprints.compared(docs.where("doc_id = 11")).first().near_next == 1.0
+
+
+def test_fingerprints_of_one_hot_id(spark):
+    """Most rows without doc_id, repeated rows and ids: every row meets the one after it, by doc_id and then by hash of the text."""
+    rng = random.Random(14)
+    rows = [(None if rng.random() < 0.7 else (1 << 62) + rng.randrange(40), rng.choice([None, "", "same"]) if i % 9 == 0 else " ".join(f"w{rng.randrange(50)}" for _ in range(rng.randint(1, 30)))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    order = sorted(((d if d is not None else -(1 << 63), t, x) for d, t, x in df.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))), F.coalesce("text", F.lit(""))).collect()), key=lambda r: (-r[0], r[1]))
+    want = Counter()
+    for (d, _, t), (_, _, after) in zip(order, order[1:] + order[:1], strict=True):
+        k = len(t) // 3
+        edited = t[: len(t) - k] + after[:k]
+        lanes = [fingerprints.vectors(pa.array([x])) for x in (t, edited, after)]
+        want[d, len(t), hashlib.sha256(edited.encode()).hexdigest(), *(fingerprints.as_hex(x)[0] for x in lanes[:2]), *(float(fingerprints.likeness(lanes[0], x)[0]) for x in lanes[1:])] += 1
+    assert Counter((-(1 << 63) if r.doc_id is None else r.doc_id, *tuple(r)[1:]) for r in fingerprints.compared(df).collect()) == want
 
 
 def test_fingerprints_are_homomorphic():
@@ -458,11 +719,42 @@ def test_quality(spark, docs):
     model = quality.train(df, df.select("doc_id", "quality"))
     got = {r.doc_id: r for r in quality.posteriors(quality.evidence(df.drop("quality"), model)).collect()}
     assert all((got[i].score >= 0.5) == bool(y) for i, *_, y in rows) and got[1].host_mean > 0.9 > 0.1 > got[0].host_mean
+    odd = quality.shapes(pa.array([None, "", " \n", "A", "AA aa 1 -- x!!", "a a a b"]))
+    assert not odd[:3].any() and odd[4, -4:].tolist() == [0, 0.2, 0.4, 0.2] and odd[5, -4] == 0.5
     none = quality.train(docs, df.select("doc_id", "quality").limit(0))
     sited = docs.select("doc_id", F.col("source").alias("host"), F.col("lang").alias("path"), "text")
     assert quality.posteriors(quality.evidence(sited, none)).count() == docs.count() and quality.posteriors(quality.evidence(sited.limit(0), none)).count() == 0
 
 
+def test_posteriors_against_brute_force(spark):
+    rng = random.Random(15)
+    rows = [(rng.choice(["a", "b", "b", "b", None]), rng.choice(["p", "q", None, ""]), rng.gauss(0.5, 2), "mine", 1) for _ in range(300)]
+    df = spark.createDataFrame(rows, "host string, path string, evidence double, _p string, score int")
+    got = quality.posteriors(df)
+    assert got.columns == ["host", "path", "evidence", "_p", "host_mean", "path_mean", "score"]
+    p = [1 / (1 + math.exp(-r[2])) for r in rows]
+    mean = sum(p) / len(p)
+
+    def strength(groups):
+        groups = [g for g in groups.values() if len(g) > 1]
+        n, mid = sum(map(len, groups)), lambda g: sum(g) / len(g)
+        within = sum(sum((x - mid(g)) ** 2 for x in g) for g in groups) / n
+        spread = max((sum(len(g) * (mid(g) - mean) ** 2 for g in groups) - len(groups) * within) / n, 0)
+        return min(max(within / max(spread, 1e-9), 1), 1e4)
+
+    hosts, paths = defaultdict(list), defaultdict(list)
+    for r, x in zip(rows, p, strict=True):
+        hosts[r[0]].append(x), paths[r[:2]].append(x)
+    kh, kp = strength(hosts), strength(paths)
+    want = []
+    for r, x in zip(rows, p, strict=True):
+        hm = (sum(hosts[r[0]]) - x + kh * mean) / (len(hosts[r[0]]) - 1 + kh)
+        pm = (sum(paths[r[:2]]) - x + kp * hm) / (len(paths[r[:2]]) - 1 + kp)
+        logit = r[2] + math.log(pm / (1 - pm)) - math.log(mean / (1 - mean))
+        want.append((str(r[0]), str(r[1]), round(r[2], 9), round(hm, 9), round(pm, 9), round(1 / (1 + math.exp(-logit)), 9)))
+    assert sorted((str(r.host), str(r.path), *(round(r[c], 9) for c in ("evidence", "host_mean", "path_mean", "score"))) for r in got.collect()) == sorted(want)
+
+
 def test_sparse_sites_are_shrunk(spark):
     rows = [("big", "a", 3.0)] * 200 + [("low", "a", -3.0)] * 200 + [("one", "a", 3.0), ("two", "b", 3.0), ("two", "b", 3.0)] + [(None, None, 0.0)]
     got = quality.posteriors(spark.createDataFrame(rows, "host string, path string, evidence double")).collect()
