@@ -32,6 +32,8 @@ from loomlog.llm.components import components
 TREES, DEPTH, RUN, LEAST, NEAR = 24, 6, 3, 2, 3
 #: Order t takes the values from RUN * t on, and starts again after the last: its first RUN values are its own.
 VALUES = TREES * RUN
+#: Members of a family that meet one copy of its base.
+MEMBERS = 1000
 _TAKES = (RUN * np.arange(TREES)[:, None] + np.arange(DEPTH)) % VALUES
 _FACTORS = np.random.Generator(np.random.PCG64(42)).integers(1, 1 << 63, VALUES, dtype=np.uint64) * U64(2) + U64(1)
 
@@ -210,29 +212,37 @@ def completed(families: DataFrame, docs: DataFrame, k: int, percent: int) -> Dat
     some of their differences, at least what their cost and the least one ask for: they are found by a join on the rarest
     ones (a prefix filter, exact for any base), and their shared differences are counted in full.
     """
-    mixed = families.groupBy("family").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("family")
-    members = kept(families.join(mixed, "family"))
-    sets = kept(_sets(members.join(docs.withColumnRenamed("doc_id", "node"), "node"), k).withColumn("id", F.monotonically_increasing_id()))
-    sizes = sets.groupBy("family").agg(F.count(F.lit(1)).alias("m"))
+    mixed = families.groupBy("family").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi").select("family", "m")
+    mixed, families = kept(mixed), kept(families)
+    nodes = mixed.agg(F.sum("m")).first()[0] or 0
+    members = spread_join(families, mixed, ["family"], "m", nodes)
+    sets = kept(_sets(members.select("node", "family", "comp").join(docs.withColumnRenamed("doc_id", "node"), "node"), k).withColumn("id", F.monotonically_increasing_id()))
+    sizes = kept(sets.groupBy("family").agg(F.count(F.lit(1)).alias("m")))
+    nodes = sizes.agg(F.sum("m")).first()[0] or 0
     counts = sets.select("family", F.explode("set").alias("s")).groupBy("family", "s").agg(F.count(F.lit(1)).alias("c"))
     base = counts.join(sizes, "family").where("2 * c > m").groupBy("family").agg(F.collect_list("s").alias("base"))
-    apart = sets.join(base, "family", "left").withColumn("base", F.coalesce("base", F.array().cast("array<long>")))
+    # a base may be as long as a text: a family of many members gets a copy of it for each MEMBERS of them
+    salt = F.floor(F.col("m") / MEMBERS).cast("int")
+    based = sizes.join(base, "family", "left").select("family", F.coalesce("base", F.array().cast("array<long>")).alias("base"), F.explode(F.sequence(F.lit(0), salt)).alias("salt"))
+    salted = spread_join(sets, sizes, ["family"], "m", nodes).withColumn("salt", F.pmod(F.xxhash64("id"), salt + 1).cast("int"))
+    apart = salted.join(based, ["family", "salt"])
     apart = apart.withColumn("missing", F.array_except("base", "set")).withColumn("extra", F.array_except("set", "base"))
     apart = apart.withColumn("cost", 200 * F.size("missing") + 2 * percent * F.size("extra") - (100 - percent) * F.size("base"))
     apart = kept(apart.select("family", "node", "comp", "id", "cost", F.concat("missing", "extra").alias("diff")))
-    least = apart.groupBy("family").agg(F.min(F.struct("cost", "node", "comp")).alias("l"))
-    least = kept(least.select("family", F.col("l.cost").alias("least"), F.col("l.node").alias("centre"), F.col("l.comp").alias("centre_comp")))
+    least = apart.groupBy("family").agg(F.min(F.struct("cost", "node", "comp")).alias("l"), F.count(F.lit(1)).alias("m"))
+    least = kept(least.select("family", F.col("l.cost").alias("least"), F.col("l.node").alias("centre"), F.col("l.comp").alias("centre_comp"), "m"))
     share = 2 * (100 + percent)
-    with_least = apart.join(least, "family")
+    with_least = spread_join(apart, least, ["family"], "m", nodes)
     sure = with_least.where("cost + least <= 0 and comp <> centre_comp").select(F.least("node", "centre").alias("x"), F.greatest("node", "centre").alias("y"))
 
     each = with_least.select("family", "node", "comp", "id", "cost", F.greatest(F.lit(1), F.ceil((F.col("cost") + F.col("least")) / share)).alias("need"), F.explode("diff").alias("s"))
-    often = apart.select("family", F.explode("diff").alias("s")).groupBy("family", "s").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    some = each.join(often, ["family", "s"]).groupBy("family", "node", "comp", "id", "cost", "need").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("diff"))
+    often = kept(apart.select("family", F.explode("diff").alias("s")).groupBy("family", "s").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
+    some = spread_join(each, often, ["family", "s"], "c", often.agg(F.sum("c")).first()[0] or 0)
+    some = some.groupBy("family", "node", "comp", "id", "cost", "need").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("diff"))
     some = kept(some.where("size(diff) >= need").withColumn("diff", F.transform("diff", lambda e: e.s)))
     # Of two components at least one is not the family's largest: that side is `a`.
-    largest = some.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("family").agg(F.max_by("comp", F.struct("c", "comp")).alias("largest"))
-    rare = some.join(largest, "family").select("family", "node", "comp", "id", "cost", F.size("diff").alias("n"), (F.col("comp") == F.col("largest")).alias("major"), F.explode(F.expr("slice(diff, 1, cast(size(diff) - need + 1 as int))")).alias("s"))
+    largest = some.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("family").agg(F.max_by("comp", F.struct("c", "comp")).alias("largest"), F.sum("c").alias("m"))
+    rare = spread_join(some, kept(largest), ["family"], "m", nodes).select("family", "node", "comp", "id", "cost", F.size("diff").alias("n"), (F.col("comp") == F.col("largest")).alias("major"), F.explode(F.expr("slice(diff, 1, cast(size(diff) - need + 1 as int))")).alias("s"))
     a, b = rare.where("not major").alias("a"), rare.alias("b")
     on = F.expr(f"a.family = b.family and a.s = b.s and a.comp <> b.comp and (b.major or a.id < b.id) and a.cost + b.cost > 0 and {share} * least(a.n, b.n) >= a.cost + b.cost")
     asked = a.join(b, on).select(F.col("a.id").alias("i"), F.col("b.id").alias("j")).distinct()
