@@ -15,16 +15,16 @@ from pyspark.sql import functions as F
 
 from loomlog.functions.similarity import KINDS, token_similarity
 from loomlog.functions.text import tokens
-from loomlog.operators.tables import kept
+from loomlog.operators.tables import kept, ranked
 
 
 def path(text: Column, depth: int = 5, delimiter: str = " ") -> Column:
     return F.slice(tokens(text, delimiter), 1, depth)
 
 
-def with_exact_paths(logs: DataFrame, depth: int = 5, text: str = "cleaned") -> DataFrame:
+def with_exact_paths(logs: DataFrame, depth: int = 5, text: str = "cleaned", delimiter: str = " ") -> DataFrame:
     """logs with path."""
-    return logs.withColumn("path", path(F.col(text), depth))
+    return logs.withColumn("path", path(F.col(text), depth, delimiter))
 
 
 def clusters(paths: DataFrame, least: int = 3) -> DataFrame:
@@ -34,11 +34,14 @@ def clusters(paths: DataFrame, least: int = 3) -> DataFrame:
     """
     first = paths.groupBy("path", "log_id").agg(F.min("seq").alias("seq"))
     sizes = first.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= least)
+    # the first `least` of each part of a path's lines, then of these: no task sorts a frequent path's lines
+    salted = Window.partitionBy("path", "_salt").orderBy("seq")
+    few = first.withColumn("_salt", F.pmod(F.xxhash64("log_id"), F.lit(64))).withColumn("_n", F.row_number().over(salted)).where(F.col("_n") <= least)
     arrival = F.row_number().over(Window.partitionBy("path").orderBy("seq"))
-    early = first.withColumn("_n", arrival).where(F.col("_n") == least).select("path", F.col("seq").alias("reached"))
-    found = sizes.join(early, "path")
-    order = F.row_number().over(Window.orderBy("reached", "path")) - 1
-    return found.withColumn("cluster_id", F.format_string("clus_%04d", order))
+    early = few.withColumn("_n", arrival).where(F.col("_n") == least).select("path", F.col("seq").alias("reached"))
+    found = kept(sizes.join(early, "path"))
+    numbered = ranked(found, [F.col("reached"), F.col("path")], name="_number")
+    return numbered.withColumn("cluster_id", F.format_string("clus_%04d", "_number")).drop("_number")
 
 
 def members(paths: DataFrame, found: DataFrame) -> DataFrame:
@@ -71,11 +74,16 @@ def lookup(paths: DataFrame, found: DataFrame) -> DataFrame:
     return paths.join(best, "seq", "left")
 
 
+#: As in token_similarity(): ASCII digits beside '.' and '-', and the kinds, whole tokens.
+_NUMERIC = re.compile(r"(?=[.-]*[0-9])[0-9.-]+\Z")
+_KINDS = [re.compile(k.replace(r"\d", "[0-9]").replace("$", r"\Z")) for k in KINDS]
+
+
 def _similar(a: str, b: str, threshold: float) -> float:
     """token_similarity() for two tokens that differ, or 0 if it is below the threshold."""
-    if a.replace(".", "").replace("-", "").isdigit() and b.replace(".", "").replace("-", "").isdigit():
+    if _NUMERIC.match(a) and _NUMERIC.match(b):
         return 0.9
-    if any(re.match(k, a) and re.match(k, b) for k in KINDS):
+    if any(k.match(a) and k.match(b) for k in _KINDS):
         return 0.85
     longer = max(len(a), len(b))
     if abs(len(a) - len(b)) > (1 - threshold) * longer + 1e-9:
@@ -101,14 +109,14 @@ def _leaders(threshold: float):
     return choose
 
 
-def with_fuzzy_paths(logs: DataFrame, depth: int = 5, threshold: float = 0.8, text: str = "cleaned") -> DataFrame:
+def with_fuzzy_paths(logs: DataFrame, depth: int = 5, threshold: float = 0.8, text: str = "cleaned", delimiter: str = " ") -> DataFrame:
     """logs with path, its tokens replaced by their leaders.
 
     A level takes distinct (parent, token) only; each occurrence goes to the most similar leader that existed when it came (ties:
     the earliest).  The result of every level is kept, so the lineage stays short.
     """
     sep = "\u0001"
-    state = logs.withColumn("_t", path(F.col(text), depth)).withColumn("_p", F.lit(""))
+    state = logs.withColumn("_t", path(F.col(text), depth, delimiter)).withColumn("_p", F.lit(""))
     for level in range(1, depth + 1):
         here = state.where(F.size("_t") >= level).select("seq", F.col("_p").alias("parent"), F.element_at("_t", level).alias("token"))
         distinct = here.groupBy("parent", "token").agg(F.min("seq").alias("first_seq"))

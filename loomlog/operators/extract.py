@@ -30,22 +30,38 @@ def retried(call: Callable, retries: int = 3, delay: float = 1.0) -> Callable:
     return again
 
 
+def together(one: Callable) -> Callable[[list[str]], list]:
+    """A client of lists from a coroutine function of one text."""
+
+    async def gathered(texts: list[str]) -> list:
+        return await asyncio.gather(*(one(t) for t in texts))
+
+    return gathered
+
+
 def external(texts: DataFrame, connect: Callable[[], Callable[[list[str]], list[str | None]]], retries: int = 3, delay: float = 1.0) -> DataFrame:
     """text, template_pattern of distinct texts (column text).  connect() makes one client for each partition.
 
-    The client takes a list and returns (or awaits) a template for each; missing ones, and those of a batch that fails in
-    all attempts, are null: such rows fall back.
+    The client takes a list and returns (or awaits) a template for each.  If it has an attribute `one`, a coroutine function of one text, all texts
+    of a batch are awaited together instead.  A batch that fails in all attempts is asked again text by text; missing answers and texts that
+    fail alone are null: such rows fall back.
     """
 
+    def asked(ask: Callable, texts: list[str]) -> list[str | None]:
+        try:
+            got = list(ask(texts))[: len(texts)]
+        except Exception:  # the provider's errors are its own
+            if len(texts) == 1:
+                return [None]
+            return [t for text in texts for t in asked(ask, [text])]
+        return got + [None] * (len(texts) - len(got))
+
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ask = retried(connect(), retries, delay)
+        client = connect()
+        ask = retried(together(client.one) if hasattr(client, "one") else client, retries, delay)
         for batch in batches:
-            asked = batch["text"].tolist()
-            try:
-                got = list(ask(asked))[: len(asked)]
-            except Exception:  # the provider's errors are its own; the rows keep a null template
-                got = []
-            yield pd.DataFrame({"text": asked, "template_pattern": got + [None] * (len(asked) - len(got))})
+            texts = batch["text"].tolist()
+            yield pd.DataFrame({"text": texts, "template_pattern": asked(ask, texts) if texts else []})
 
     return texts.select("text").distinct().mapInPandas(rows, "text string, template_pattern string")
 

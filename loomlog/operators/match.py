@@ -25,18 +25,26 @@ def unknown_lines(logs: DataFrame, assignments: DataFrame, text: str = "content"
 def by_pattern(logs: DataFrame, templates: DataFrame, text: str = "cleaned") -> DataFrame:
     """logs with the most specific template (most constant characters, then least id) whose regular expression fits, else null.
 
-    Blocked by the first token; templates that start with a variable meet distinct texts in a second join.
-    Only distinct texts are matched.
+    A template's longest constant word is in every text that fits it, so distinct texts meet templates on words: an
+    equi-join.  Only templates without any constant word meet all distinct texts.
     """
-    shaped = templates.select("template_id", "template_pattern", template_regex(F.col("template_pattern")).alias("_rx"), F.length(F.replace("template_pattern", F.lit("<*>"), F.lit(""))).alias("_fixed"), F.split("template_pattern", " ")[0].alias("_first"))
-    texts = logs.select(F.col(text).alias("_text")).where("_text <> ''").distinct().withColumn("_first", F.split("_text", " ")[0])
-    same = texts.join(shaped.where(~F.col("_first").contains("<*>")), "_first").where("_text rlike _rx")
-    open_ = texts.drop("_first").join(shaped.where(F.col("_first").contains("<*>")).drop("_first"), F.expr("_text rlike _rx"))
+    longest = F.array_max(F.transform(F.filter(F.split("template_pattern", " "), lambda w: (w != "") & ~w.contains("<*>")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
+    shaped = templates.select("template_id", "template_pattern", template_regex(F.col("template_pattern")).alias("_rx"), F.length(F.replace("template_pattern", F.lit("<*>"), F.lit(""))).alias("_fixed"), longest["w"].alias("_word"))
+    texts = logs.select(F.col(text).alias("_text")).where("_text <> ''").distinct()
+    spread = texts.select("_text", F.explode(F.array_distinct(F.split("_text", " "))).alias("_word"))
+    same = spread.join(shaped.where("_word is not null"), "_word").where("_text rlike _rx")
+    open_ = texts.join(shaped.where("_word is null").drop("_word"), F.expr("_text rlike _rx"))
     columns = ["_text", "template_id", "template_pattern", "_fixed"]
     best = same.select(*columns).unionByName(open_.select(*columns)).groupBy("_text").agg(F.min_by(F.struct("template_id", "template_pattern"), F.struct(-F.col("_fixed"), "template_id")).alias("_t"))
     return logs.join(best, logs[text] == best["_text"], "left").select(*logs.columns, F.col("_t.template_id").alias("template_id"), F.col("_t.template_pattern").alias("template_pattern"))
 
 
+def cluster_templates(paths: DataFrame, found: DataFrame, assigned: DataFrame) -> DataFrame:
+    """Clusters with template_id: that of the first of a cluster's lines.  paths: seq, path; assigned: seq, template_id."""
+    first = paths.join(found.select("path", "cluster_id"), "path").join(assigned.select("seq", "template_id"), "seq").groupBy("cluster_id").agg(F.min_by("template_id", "seq").alias("template_id"))
+    return found.join(first, "cluster_id", "left")
+
+
 def parsed(rows: DataFrame, confidence: float = 0.9) -> DataFrame:
     """Parsed rows: seq, original, template_id, template_pattern, variables, timestamp, log_level, component, confidence, metadata,
     processing_time_ms, used_llm, cache_hit.  rows: seq, content, cleaned, valid, template_id, template_pattern[, cache_hit].

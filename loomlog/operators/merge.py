@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomlog.functions.similarity import merge_pad, merge_truncate, pattern_similarity, should_merge
+from loomlog.operators.components import components
+from loomlog.operators.tables import kept, ranked
 
 PENALTY = 0.95
 
@@ -42,37 +44,76 @@ def _greedy(batch: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["leader", "member"])
 
 
+def ordered(pairs: DataFrame) -> DataFrame:
+    """Mergeable pairs with place, from 0: the most similar first, then by i and j."""
+    return ranked(kept(pairs), [F.desc("similarity"), F.col("i"), F.col("j")], name="place")
+
+
 def leaders(pairs: DataFrame) -> DataFrame:
-    """leader, member.  The greedy order runs through all templates, so it is one task over the pairs of the pool (templates, not lines)."""
-    return pairs.select(F.lit(0).alias("_all"), "i", "j").groupBy("_all").applyInPandas(lambda b: _greedy(b.drop(columns="_all")), "leader long, member long")
+    """leader, member.  Templates that no chain of pairs connects can't absorb each other: the greedy order runs within components."""
+    pairs = kept(pairs.select("i", "j"))
+    within = components(pairs.select(F.col("i").alias("u"), F.col("j").alias("v")))
+    grouped = pairs.join(within, pairs["i"] == within["node"]).select("label", "i", "j")
+    return grouped.groupBy("label").applyInPandas(lambda b: _greedy(b.drop(columns="label")), "leader long, member long")
+
+
+#: What a pool may hold besides; each is folded where it is there.
+_FOLDS = {
+    "example_logs": lambda ms: F.slice(F.flatten(F.transform(ms, lambda m: m["example_logs"])), 1, 10),
+    "static_tokens": lambda ms: F.aggregate(F.slice(ms, F.lit(2), F.greatest(F.size(ms) - 1, F.lit(0))), F.element_at(ms, 1)["static_tokens"], lambda acc, m: F.array_intersect(acc, m["static_tokens"])),
+    "created_at": lambda ms: F.element_at(ms, 1)["created_at"],
+    "first_seq": lambda ms: F.element_at(ms, 1)["first_seq"],
+}
 
 
 def merged(templates: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Templates after merge_batch: i, p, count, confidence, merges.  templates: i, p, count, confidence.
+    """Templates after merge_batch: i, p, count, confidence, merges[, example_logs, static_tokens, created_at, first_seq], members.
 
-    The pattern is folded over members in order (padding), counts add up, confidence is the running minimum times PENALTY at each step.
+    templates: i, p, count, confidence and any of the others.  The pattern is folded over members in order (padding), counts add up, confidence is the
+    running minimum times PENALTY at each step; the first ten examples stay, static tokens that all have, and the leader's creation.
     """
     lead = leaders(pairs)
+    folds = {c: f for c, f in _FOLDS.items() if c in templates.columns}
     rows = templates.join(lead.withColumnRenamed("member", "i"), "i", "left").withColumn("leader", F.coalesce("leader", "i"))
-    listed = rows.groupBy("leader").agg(F.sort_array(F.collect_list(F.struct("i", "p", "count", "confidence"))).alias("ms"))
+    listed = rows.groupBy("leader").agg(F.array_sort(F.collect_list(F.struct("i", "p", "count", "confidence", *folds))).alias("ms"))
     rest = F.slice("ms", F.lit(2), F.greatest(F.size("ms") - 1, F.lit(0)))
     confidence = F.aggregate(rest, F.element_at("ms", 1)["confidence"].cast("double"), lambda acc, m: F.least(acc, m["confidence"]) * PENALTY)
     pattern = F.aggregate(rest, F.element_at("ms", 1)["p"], lambda acc, m: merge_pad(acc, m["p"]))
     count = F.aggregate("ms", F.lit(0).cast("long"), lambda acc, m: acc + m["count"])
-    return listed.select(F.col("leader").alias("i"), pattern.alias("p"), count.alias("count"), confidence.alias("confidence"), (F.size("ms") - 1).alias("merges"))
+    others = [f(F.col("ms")).alias(c) for c, f in folds.items()]
+    return listed.select(F.col("leader").alias("i"), pattern.alias("p"), count.alias("count"), confidence.alias("confidence"), (F.size("ms") - 1).alias("merges"), *others, F.transform("ms", lambda m: m["i"]).alias("members"))
 
 
 def pool_merge(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Two one-row pools into one row: counts add up, least confidence, patterns cut to the shorter."""
+    """Two one-row pools into one row: counts add up, least confidence, patterns cut to the shorter, all examples (where both have them)."""
     a, b = first.alias("a"), second.alias("b")
+    both = [F.concat("a.example_logs", "b.example_logs").alias("example_logs")] if "example_logs" in first.columns and "example_logs" in second.columns else []
     return a.join(b).select(
         F.col("a.template_id").alias("template_id"), merge_truncate(F.col("a.template_pattern"), F.col("b.template_pattern")).alias("template_pattern"),
-        (F.col("a.count") + F.col("b.count")).alias("count"), F.least("a.confidence", "b.confidence").alias("confidence"),
+        (F.col("a.count") + F.col("b.count")).alias("count"), F.least("a.confidence", "b.confidence").alias("confidence"), *both,
     )
 
 
 def auto_merge(templates: DataFrame, above: int = 100, threshold: float = 0.9, max_edit: int = 3) -> DataFrame:
-    """merged() if there are more than `above` templates, else the templates as they are."""
+    """merged() if there are more than `above` templates, else the templates as they are, with merges 0 and themselves as members."""
     if templates.limit(above + 1).count() <= above:
-        return templates.withColumn("merges", F.lit(0))
-    return merged(templates, mergeable_pairs(templates, threshold, max_edit))
+        return templates.withColumn("merges", F.lit(0)).withColumn("members", F.array("i"))
+    return merged(templates, kept(mergeable_pairs(templates, threshold, max_edit)))
+
+
+def merged_pool(pool: DataFrame, above: int = 100, threshold: float = 0.9, max_edit: int = 3) -> tuple[DataFrame, DataFrame] | None:
+    """(pool, remap: template_id, leader_id) after auto_merge(), or None where there is nothing to merge.
+
+    pool: template_id, template_pattern, count, first_seq, confidence.  A leader keeps its id and takes the folded pattern.
+    """
+    if pool.limit(above + 1).count() <= above:
+        return None
+    numbered = kept(pool.select(F.regexp_extract("template_id", r"(\d+)$", 1).cast("long").alias("i"), F.col("template_pattern").alias("p"), "count", "confidence", "first_seq", "template_id"))
+    pairs = kept(mergeable_pairs(numbered, threshold, max_edit))
+    if pairs.isEmpty():
+        return None
+    found = kept(merged(numbered.drop("template_id"), pairs))
+    named = numbered.select("i", "template_id")
+    out = found.join(named, "i").select("template_id", F.col("p").alias("template_pattern"), "count", "first_seq", "confidence")
+    members = found.where("merges > 0").select("i", F.explode("members").alias("m")).where("m <> i").join(named.select("i", F.col("template_id").alias("leader_id")), "i")
+    return out, members.join(named.select(F.col("i").alias("m"), "template_id"), "m").select("template_id", "leader_id")

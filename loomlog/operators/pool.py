@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loomlog.functions.similarity import static_tokens
 from loomlog.functions.text import WILDCARD, words
+from loomlog.operators.tables import kept, ranked
 
 EXAMPLES = 10
 
@@ -21,11 +22,12 @@ def template_id(number: Column) -> Column:
 def mined(rows: DataFrame, text: str = "cleaned", confidence: float = 0.9) -> DataFrame:
     """Templates of rows (seq, template_pattern, text), numbered in the order of their first row.
 
-    One aggregation with partial sums; only distinct patterns are numbered.  count is the number of rows.
+    One aggregation with partial sums, kept; only distinct patterns are numbered, by a distributed rank.  count is the number of rows.
     """
-    found = rows.where(F.trim("template_pattern") != "").groupBy("template_pattern").agg(F.count(F.lit(1)).alias("count"), F.min("seq").alias("first_seq"))
-    number = F.row_number().over(Window.orderBy("first_seq")) - 1
-    return found.withColumn("template_id", template_id(number)).withColumn("confidence", F.lit(confidence))
+    # a condition on an aggregate: one on the pattern would be pushed down and repeat what makes the pattern
+    found = rows.groupBy("template_pattern").agg(F.count(F.lit(1)).alias("count"), F.min("seq").alias("first_seq"), F.max(F.trim("template_pattern") != "").alias("_some")).where("_some").drop("_some")
+    numbered = ranked(kept(found), [F.col("first_seq"), F.col("template_pattern")], name="_number")
+    return numbered.withColumn("template_id", template_id(F.col("_number"))).withColumn("confidence", F.lit(confidence)).drop("_number")
 
 
 def pool_rows(found: DataFrame, examples: DataFrame, now: Column | None = None) -> DataFrame:
@@ -43,8 +45,11 @@ def pool_rows(found: DataFrame, examples: DataFrame, now: Column | None = None)
 def last_examples(rows: DataFrame, text: str = "cleaned", n: int = EXAMPLES) -> DataFrame:
     """template_pattern, seq, example: of each template its `n` distinct texts seen last (a text counts where it is first seen)."""
     first = rows.groupBy("template_pattern", F.col(text).alias("example")).agg(F.min("seq").alias("seq"))
+    # the last n of each part of a template's texts, then of these: no task sorts a frequent template's texts
+    salted = Window.partitionBy("template_pattern", "_salt").orderBy(F.desc("seq"))
+    few = first.withColumn("_salt", F.pmod(F.xxhash64("example"), F.lit(64))).withColumn("_n", F.row_number().over(salted)).where(F.col("_n") <= n)
     latest = F.row_number().over(Window.partitionBy("template_pattern").orderBy(F.desc("seq")))
-    return first.withColumn("_n", latest).where(F.col("_n") <= n).drop("_n")
+    return few.withColumn("_n", latest).where(F.col("_n") <= n).drop("_n", "_salt")
 
 
 def top(pool: DataFrame, n: int = 10) -> DataFrame:
@@ -56,8 +61,9 @@ def upsert(pool: DataFrame, fresh: DataFrame) -> DataFrame:
     """template_id, template_pattern, count, first_seq, confidence: counts of equal patterns add up, new patterns get the ids after the largest."""
     columns = ["template_id", "template_pattern", "count", "first_seq", "confidence"]
     largest = pool.agg(F.coalesce(F.max(F.regexp_extract("template_id", r"(\d+)$", 1).cast("long")), F.lit(-1)).alias("_largest"))
-    new = fresh.join(pool.select("template_pattern"), "template_pattern", "left_anti").join(F.broadcast(largest))
-    new = new.withColumn("template_id", template_id(F.col("_largest") + F.row_number().over(Window.orderBy("first_seq"))))
+    new = kept(fresh.join(pool.select("template_pattern"), "template_pattern", "left_anti").select("template_pattern", "count", "first_seq", "confidence"))
+    new = ranked(new, [F.col("first_seq"), F.col("template_pattern")], name="_number").join(F.broadcast(largest))
+    new = new.withColumn("template_id", template_id(F.col("_largest") + 1 + F.col("_number")))
     seen = fresh.select("template_pattern", F.col("count").alias("_more"))
     old = pool.select(*columns).join(seen, "template_pattern", "left").withColumn("count", F.col("count") + F.coalesce("_more", F.lit(0)))
     return old.select(*columns).unionByName(new.select(*columns))

@@ -13,25 +13,41 @@ TEMPLATE_SCHEMA = (
 )
 
 
-def _numbered(lines: DataFrame) -> DataFrame:
-    """seq in the order of file and line; it identifies rows and need not be gapless."""
-    return lines.select(F.monotonically_increasing_id().alias("seq"), F.col("content"))
+def _numbered(spark: SparkSession, rows: DataFrame, files: list[str]) -> DataFrame:
+    """seq, content: seq goes by file name and then by place in the file; it identifies rows and need not be gapless.
+
+    rows: content, file, start (where the row's block begins in its file).  A line has a byte at least, so the start of its block
+    plus its place in the scan's partition grows along a file: a block that shares its partition with others is its file's last.  2^20
+    files of 2^43 bytes have room.
+    """
+    # a row for each file of the listing that the driver holds anyway
+    numbers = F.broadcast(spark.createDataFrame([(f, i) for i, f in enumerate(sorted(files))], "file string, number long"))
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = rows.withColumn("place", F.col("start") + place)
+    return placed.join(numbers, "file", "left").select((F.coalesce("number", F.lit(0)) * (1 << 43) + F.col("place")).alias("seq"), "content")
+
+
+def _from_files(read: DataFrame, content: Column) -> DataFrame:
+    return read.select(content.alias("content"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
     """seq, content: stripped lines without blank ones."""
-    stripped = F.regexp_replace("value", r"^\s+|\s+$", "")
-    return _numbered(spark.read.text(path).select(stripped.alias("content")).where(F.length("content") > 0))
+    read = spark.read.text(path)
+    rows = _from_files(read, F.regexp_replace("value", r"^\s+|\s+$", ""))
+    return _numbered(spark, rows, read.inputFiles()).where(F.length("content") > 0)
 
 
-def csv_lines(spark: SparkSession, path: str, column: str = "log") -> DataFrame:
-    """The named column only; fields may hold quotes and newlines."""
-    return _numbered(spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path).select(F.col(f"`{column}`").cast("string").alias("content")))
+def csv_lines(spark: SparkSession, path: str, column: str = "log", multi_line: bool = True) -> DataFrame:
+    """The named column only; fields may hold quotes and, unless multi_line is off, newlines.  With it a file is one task's work."""
+    read = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
+    return _numbered(spark, _from_files(read, F.col(f"`{column}`").cast("string")), read.inputFiles())
 
 
-def json_lines(spark: SparkSession, path: str, column: str = "log") -> DataFrame:
-    """An array of records, or one record on each line."""
-    return _numbered(spark.read.option("multiLine", True).schema(f"`{column}` string").json(path).select(F.col(f"`{column}`").alias("content")))
+def json_lines(spark: SparkSession, path: str, column: str = "log", multi_line: bool = True) -> DataFrame:
+    """An array of records, or one record on each line; with multi_line off only the latter, and a large file is divided among tasks."""
+    read = spark.read.option("multiLine", multi_line).schema(f"`{column}` string").json(path)
+    return _numbered(spark, _from_files(read, F.col(f"`{column}`")), read.inputFiles())
 
 
 def lines(spark: SparkSession, path: str, column: str = "log") -> DataFrame:
@@ -74,6 +90,18 @@ def templates_document(pool: DataFrame) -> DataFrame:
     return listed.select(F.to_json(F.struct("templates", meta)).alias("document"))
 
 
+def read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
+    """The Parquet table at path, or None."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def read_templates(spark: SparkSession, path: str) -> DataFrame:
     """The templates written to path; an empty pool if there are none."""
     from pyspark.errors import AnalysisException
