@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,10 +10,11 @@ from pyspark.sql import functions as F
 
 from loomlog.functions import prompts, similarity, text
 from loomlog.operators import clusters, match, merge, metrics, pool, stats
-from loomlog.operators.tables import ranked
+from loomlog.operators.tables import kept, ranked, shared_dir
 from loomlog.plans.pipeline import Pipeline, cleaned
 from loomlog.sources import files
 from loomlog.sources.config import Config, Preprocessing
+from loomlog.sources.store import open_store
 from loomlog.streaming import stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -323,8 +325,8 @@ def levenshtein_pairs(spark, sf_dir):
     return _token_pairs(spark, sf_dir).select("a", "b", F.levenshtein("a", "b").alias("distance"))
 
 
-#: Templates to compare: the first words of each benchmark item and of the next.
-_TEMPLATES = rf"t AS (SELECT item_id AS i, array_to_string(list_slice(list_filter(string_split_regex(text, '\s+'), lambda x: x <> ''), 1, 8), ' ') AS p FROM benchmark), x AS (SELECT a.i AS i, b.i AS j, a.p AS p, b.p AS q FROM t a JOIN t b ON a.i + 1 = b.i)"
+#: Templates to compare: the words of each benchmark item and of the next.
+_TEMPLATES = rf"t AS (SELECT item_id AS i, array_to_string(list_filter(string_split_regex(text, '\s+'), lambda x: x <> ''), ' ') AS p FROM benchmark), x AS (SELECT a.i AS i, b.i AS j, a.p AS p, b.p AS q FROM t a JOIN t b ON a.i + 1 = b.i)"
 _W = lambda c: f"list_filter(string_split({c}, ' '), lambda x: x <> '')"
 _SAME = f"len(list_filter(range(1, least(len({_W('p')}), len({_W('q')})) + 1), lambda i: {_W('p')}[i] = {_W('q')}[i]))"
 _UNION = f"len(list_distinct(list_concat({_W('p')}, {_W('q')})))"
@@ -333,8 +335,8 @@ _PATTERN_SIM = f"CASE WHEN p = q THEN 1.0::DOUBLE ELSE 0.7::DOUBLE * ({_SAME}::D
 
 
 def _benchmark_pairs(spark, sf_dir) -> DataFrame:
-    """Each item's first eight words beside the next item's."""
-    t = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("i"), F.array_join(F.slice(text.words(F.col("text")), 1, 8), " ").alias("p"))
+    """Each item's words beside the next item's."""
+    t = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("i"), F.array_join(text.words(F.col("text")), " ").alias("p"))
     return t.join(t.select((F.col("i") - 1).alias("i"), F.col("i").alias("j"), F.col("p").alias("q")), "i")
 
 
@@ -380,9 +382,27 @@ def mergeable_pairs(spark, sf_dir):
     return merge.mergeable_pairs(_patterns(spark, sf_dir), 0.6).select("i", "j", F.round("similarity", 9).alias("similarity"))
 
 
-@query()
+@query(f"WITH {_PATTERNS}, e AS (SELECT i, j, {_PATTERN_SIM} AS s FROM x WHERE {_PATTERN_SIM} >= 0.6 AND levenshtein(p, q) <= 3) SELECT row_number() OVER (ORDER BY s DESC, i, j) - 1 AS place, i, j FROM e")
+def mergeable_pairs_ordered(spark, sf_dir):
+    return merge.ordered(merge.mergeable_pairs(_patterns(spark, sf_dir), 0.6)).select("place", "i", "j")
+
+
+_FOLDED = _MERGED("greatest").replace("lambda i:", "lambda ix:").replace("[i]", "[ix]")
+for _old, _new in (("(p, ", "(acc, "), ("(q, ", "(nxt, ")):
+    _FOLDED = _FOLDED.replace(_old, _new)
+
+
+@query(f"""WITH RECURSIVE {_PATTERNS}, e AS (SELECT i, j FROM x WHERE {_PATTERN_SIM} >= 0.6 AND levenshtein(p, q) <= 3),
+  g AS (SELECT i, list(j ORDER BY j) AS js, row_number() OVER (ORDER BY i) AS k FROM e GROUP BY i),
+  w AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS used, NULL::BIGINT AS leader, []::BIGINT[] AS taken
+    UNION ALL SELECT g.k, CASE WHEN list_contains(w.used, g.i) THEN w.used ELSE list_concat(w.used, g.js) END, g.i,
+      CASE WHEN list_contains(w.used, g.i) THEN [] ELSE list_filter(g.js, lambda y: NOT list_contains(w.used, y)) END FROM w JOIN g ON g.k = w.k + 1),
+  a AS (SELECT leader, unnest(taken) AS member FROM w),
+  r AS (SELECT coalesce(a.leader, t.i) AS i, t.i AS own, t.p, t.size FROM t LEFT JOIN a ON a.member = t.i),
+  f AS (SELECT i, list(p ORDER BY own) AS ps, sum(size)::BIGINT AS count, count(*) - 1 AS n FROM r GROUP BY i)
+  SELECT i, CASE WHEN n = 0 THEN ps[1] ELSE list_reduce(ps, lambda acc, nxt: {_FOLDED}) END AS p, count, round(0.9::DOUBLE * pow(0.95::DOUBLE, n), 9) AS confidence, n::INTEGER AS merges FROM f""")
 def merge_batch(spark, sf_dir):
-    t = _patterns(spark, sf_dir)
+    t = kept(_patterns(spark, sf_dir))
     return merge.merged(t, merge.mergeable_pairs(t, 0.6)).select("i", "p", "count", F.round("confidence", 9).alias("confidence"), "merges")
 
 
@@ -453,11 +473,25 @@ def match_by_pattern(spark, sf_dir):
     return match.by_pattern(rows, spark.createDataFrame(known, "template_id string, template_pattern string")).select("seq", "template_id")
 
 
-@query(rf"WITH {_LOGS} SELECT seq, regexp_extract(content, 'User (.+?) clicked item (.+?) at (.+)$', 1) AS var_1, regexp_extract(content, 'User (.+?) clicked item (.+?) at (.+)$', 2) AS var_2, regexp_extract(content, 'User (.+?) clicked item (.+?) at (.+)$', 3) AS var_3 FROM logs WHERE truth = 'click'")
+#: A template for each type of event.
+_OF_TYPE = {
+    "error": "<*> ERROR Failed to connect to <*> on port <*> after <*> ms",
+    "click": "<*> INFO User <*> clicked item <*> at <*>",
+    "view": "<*> INFO User <*> viewed page<*>",
+    "purchase": "<*> INFO Order <*> paid <*> by user <*>",
+    "signup": "<*> WARN Signup <*> ok",
+}
+
+
+def _variable(n: int) -> str:
+    return "CASE truth " + " ".join(f"WHEN '{t}' THEN regexp_extract(content, '^{p.replace('<*>', '(.+?)')}$', {n})" for t, p in _OF_TYPE.items() if p.count("<*>") >= n) + f" END AS var_{n}"
+
+
+@query(f"WITH {_LOGS} SELECT seq, {', '.join(map(_variable, (1, 2, 3, 4)))} FROM logs")
 def extract_variables(spark, sf_dir):
-    rows = logs(spark, sf_dir).where("truth = 'click'").withColumn("content", F.expr("substring(content, 26)"))
-    v = similarity.variables(F.col("content"), F.lit("User <*> clicked item <*> at <*>"))
-    return rows.select("seq", *(v[f"var_{i}"].alias(f"var_{i}") for i in (1, 2, 3)))
+    template = F.element_at(F.create_map(*(F.lit(x) for pair in _OF_TYPE.items() for x in pair)), F.col("truth"))
+    rows = logs(spark, sf_dir).select("seq", similarity.variables(F.col("content"), template).alias("v"))
+    return rows.select("seq", *(F.try_element_at("v", F.lit(f"var_{i}")).alias(f"var_{i}") for i in (1, 2, 3, 4)))
 
 
 # ---------------------------------------------------------------- metrics
@@ -508,29 +542,50 @@ def set_accuracy(spark, sf_dir):
     return metrics.set_accuracy(_coarse(_labels(spark, sf_dir)))
 
 
-@query(f"WITH {_MINED} SELECT avg((template_id <> 'tmpl_0001')::INT)::DOUBLE AS template_accuracy FROM t")
+#: True templates are those of all lines, predicted ones those of the lines after the first three, which come in another order.
+_TWO_POOLS = "m2 AS (SELECT template_pattern, min(seq) AS first_seq FROM v WHERE seq >= (SELECT min(seq) + 3 FROM v) GROUP BY 1), t2 AS (SELECT template_pattern, 'tmpl_' || lpad((row_number() OVER (ORDER BY first_seq) - 1)::VARCHAR, 4, '0') AS template_id FROM m2), u AS (SELECT avg(coalesce(t2.template_pattern = t.template_pattern, false)::INT)::DOUBLE AS template_accuracy FROM t LEFT JOIN t2 USING (template_id))"
+
+
+def _two_pools(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    rows = _mined_rows(spark, sf_dir)
+    first = rows.agg(F.min("seq").alias("first"))
+    later = rows.join(first, F.col("seq") >= F.col("first") + 3).drop("first")
+    return tuple(pool.mined(r).select("template_id", F.col("template_pattern").alias("pattern")) for r in (later, rows))
+
+
+@query(f"WITH {_MINED}, {_TWO_POOLS} SELECT template_accuracy FROM u")
 def template_accuracy(spark, sf_dir):
-    truth = pool.mined(_mined_rows(spark, sf_dir)).select("template_id", F.col("template_pattern").alias("pattern"))
-    return metrics.template_accuracy(truth.where("template_id <> 'tmpl_0001'").withColumn("pattern", F.concat(F.lit(" "), "pattern")), truth)
+    return metrics.template_accuracy(*_two_pools(spark, sf_dir))
 
 
-@query(f"WITH {_COARSE}, {_F1}, {_ARI} SELECT (SELECT avg((pred = truth)::INT)::DOUBLE FROM l) AS label_accuracy, 2 * precision * recall / (precision + recall) AS f1, precision, recall, ari, 1.0::DOUBLE AS template_accuracy FROM f, h")
+@query(f"WITH {_COARSE}, {_F1}, {_ARI}, {_TWO_POOLS} SELECT (SELECT avg((pred = truth)::INT)::DOUBLE FROM l) AS label_accuracy, 2 * precision * recall / (precision + recall) AS f1, precision, recall, ari, template_accuracy FROM f, h, u")
 def all_metrics(spark, sf_dir):
-    t = pool.mined(_mined_rows(spark, sf_dir)).select("template_id", F.col("template_pattern").alias("pattern"))
-    return metrics.all_metrics(_coarse(_labels(spark, sf_dir)), t, t)
+    return metrics.all_metrics(_coarse(_labels(spark, sf_dir)), *_two_pools(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- statistics, prompts
 
-@query(f"WITH {_MINED} SELECT count(*)::BIGINT AS total_logs, 0::BIGINT AS failed, 0::BIGINT AS cache_hits, count(*)::BIGINT AS llm_calls, (SELECT count(*) FROM t)::BIGINT AS unique_templates, 0.85::DOUBLE AS average_confidence, 0.0::DOUBLE AS total_processing_time_ms, 0.0::DOUBLE AS cache_hit_rate, 1.0::DOUBLE AS success_rate, 1.0::DOUBLE AS llm_efficiency, 0.0::DOUBLE AS avg_time_per_log_ms FROM v")
+#: Every tenth line is cut to eight characters, which are no valid line; clicks and errors are known.
+_MIXED = f"{_MINED}, h AS ({_KNOWN}), d AS (SELECT seq % 10 <> 0 AS ok, h.log_md5 IS NOT NULL AND seq % 10 <> 0 AS hit, template_pattern, content, t.template_id FROM v JOIN t USING (template_pattern) LEFT JOIN h ON md5(content) = h.log_md5)"
+
+
+def _mixed(spark, sf_dir):
+    engine, lines = Pipeline(spark), logs(spark, sf_dir)
+    known = engine.parse_batch(lines)
+    known.assignments = _known_kinds(spark, sf_dir)
+    cut = F.when(F.col("seq") % 10 == 0, F.substring("content", 1, 8)).otherwise(F.col("content"))
+    return engine.parse_batch(lines.withColumn("content", cut), known)
+
+
+@query(f"WITH {_MIXED}, n AS (SELECT count(*) AS n, count(*) FILTER (NOT ok) AS bad, count(*) FILTER (hit) AS hits, count(*) FILTER (ok AND NOT hit) AS used, count(DISTINCT template_id) FILTER (ok) AS ids FROM d) SELECT n::BIGINT AS total_logs, bad::BIGINT AS failed, hits::BIGINT AS cache_hits, used::BIGINT AS llm_calls, ids::BIGINT AS unique_templates, round(0.85::DOUBLE * (n - bad) / n, 9) AS average_confidence, 0.0::DOUBLE AS total_processing_time_ms, hits::DOUBLE / n AS cache_hit_rate, (n - bad)::DOUBLE / n AS success_rate, n::DOUBLE / used AS llm_efficiency, 0.0::DOUBLE AS avg_time_per_log_ms FROM n")
 def parse_stats(spark, sf_dir):
-    out = stats.parse_stats(Pipeline(spark).parse_batch(logs(spark, sf_dir)).rows)
+    out = stats.parse_stats(_mixed(spark, sf_dir).rows)
     return out.withColumn("average_confidence", F.round("average_confidence", 9))
 
 
-@query(f"WITH {_MINED} SELECT (SELECT count(*) FROM t)::BIGINT AS total_templates, (SELECT sum(count) FROM t)::BIGINT AS total_logs, 0.85::DOUBLE AS avg_confidence, count(DISTINCT content)::BIGINT AS associations, (SELECT sum(count)::DOUBLE / count(*) FROM t) AS avg_logs_per_template FROM v")
+@query(f"WITH {_MIXED}, y AS (SELECT (SELECT sum(count) FROM t) + (SELECT count(*) FILTER (ok) FROM d) AS n, (SELECT count(*) FROM t) AS k) SELECT k::BIGINT AS total_templates, n::BIGINT AS total_logs, 0.85::DOUBLE AS avg_confidence, (SELECT count(DISTINCT content) FILTER (ok OR truth IN ('click', 'error')) FROM (SELECT content, truth, seq % 10 <> 0 AS ok FROM v))::BIGINT AS associations, n::DOUBLE / k AS avg_logs_per_template FROM y")
 def pool_stats(spark, sf_dir):
-    r = Pipeline(spark).parse_batch(logs(spark, sf_dir))
+    r = _mixed(spark, sf_dir)
     return pool.stats(r.templates, r.assignments).withColumn("avg_confidence", F.round("avg_confidence", 9))
 
 
@@ -609,28 +664,132 @@ def file_result(spark, sf_dir):
     return match.file_result(Pipeline(spark).parse_batch(logs(spark, sf_dir)).rows)
 
 
+@query(f"""WITH {_LOGS}, c AS (SELECT seq, {_clean('content', ts=True)} AS content FROM logs), v AS (SELECT seq, list_slice({_TOKENS}, 1, 5) AS path, {_heuristic('content')} AS pattern FROM c WHERE {_valid('content')}),
+  o AS (SELECT path, pattern, row_number() OVER (PARTITION BY path ORDER BY seq) AS k, count(*) OVER (PARTITION BY path) AS n FROM v WHERE seq % 2 = 0), k AS (SELECT path, pattern FROM o WHERE k = 1 AND n >= 3),
+  f AS (SELECT seq, pattern, (SELECT arg_min(k.pattern, len(k.path)) FROM k WHERE len(k.path) <= len(v.path) AND list_slice(v.path, 1, len(k.path)) = k.path) AS found FROM v WHERE seq % 2 = 1)
+  SELECT seq, coalesce(found, pattern) AS template_pattern FROM f""")
+def parse_batch_by_prefix(spark, sf_dir):
+    engine, lines = Pipeline(spark, _STRIPPED), logs(spark, sf_dir)
+    known = engine.parse_batch(lines.where("seq % 2 = 0"), match_mode="prefix")
+    known.clusters = kept(known.clusters)
+    return engine.parse_batch(lines.where("seq % 2 = 1"), known, match_mode="prefix").rows.select("seq", "template_pattern")
+
+
+@query(f"WITH {_MINED} SELECT seq, template_id, true AS cache_hit FROM v JOIN t USING (template_pattern)")
+def state_round_trip(spark, sf_dir):
+    engine, lines = Pipeline(spark), logs(spark, sf_dir)
+    path = _folder(spark)
+    engine.save_state(path, engine.parse_batch(lines))
+    return engine.parse_batch(lines, engine.load_state(path)).rows.select("seq", "template_id", "cache_hit")
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/loomlog-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def _written(spark, sf_dir, kind: str, write: Callable[[DataFrame, str], None]) -> DataFrame:
+    """Log lines that were written in this format and read again: content."""
+    path = f"{_folder(spark)}.{kind}"
+    write(logs(spark, sf_dir).select("seq", F.col("content").alias("log")), path)
+    return files.lines(spark, path).select("content")
+
+
+@query(f"WITH {_LOGS} SELECT content FROM logs")
+def scan_csv(spark, sf_dir):
+    return _written(spark, sf_dir, "csv", files.write_csv)
+
+
+@query(f"WITH {_LOGS} SELECT content FROM logs")
+def scan_json(spark, sf_dir):
+    path = f"{_folder(spark)}.json"
+    logs(spark, sf_dir).select(F.col("content").alias("log")).write.json(path)
+    return files.json_lines(spark, path, multi_line=False).select("content")
+
+
+@query(f"WITH {_LOGS} SELECT row_number() OVER (ORDER BY seq) - 1 AS place, content FROM logs")
+def scan_text(spark, sf_dir):
+    """The lines' places come back from the order of files and lines."""
+    path = f"{_folder(spark)}.txt"
+    logs(spark, sf_dir).repartitionByRange(4, "seq").sortWithinPartitions("seq").select("content").write.text(path)
+    return ranked(files.lines(spark, path), [F.col("seq")], name="place").select("place", "content")
+
+
+@query(f"WITH {_MINED} SELECT template_id, template_pattern, count FROM t")
+def templates_round_trip(spark, sf_dir):
+    path, rows = _folder(spark), _mined_rows(spark, sf_dir)
+    files.write_templates(pool.pool_rows(pool.mined(rows), pool.last_examples(rows)), path)
+    return files.read_templates(spark, path).select("template_id", "template_pattern", "count")
+
+
+@query(f"WITH {_MINED}, h AS ({_KNOWN}), a AS (SELECT md5(content) AS log_md5, min(template_id) AS template_id FROM v JOIN t USING (template_pattern) WHERE truth = 'view' GROUP BY 1) SELECT log_md5, template_id FROM h WHERE template_id <> 'tmpl_0000' UNION ALL SELECT log_md5, template_id FROM a WHERE log_md5 NOT IN (SELECT log_md5 FROM h) AND template_id <> 'tmpl_0000'")
+def store_round_trip(spark, sf_dir):
+    """Known lines set in two steps by two openings of one store, and some deleted."""
+    path, rows = _folder(spark), _mined_rows(spark, sf_dir)
+    open_store(spark, "file", path).set(_known_kinds(spark, sf_dir))
+    t = pool.mined(rows).select("template_id", "template_pattern")
+    seen = rows.where("truth = 'view'").join(t, "template_pattern").select(F.md5(F.col("content").cast("binary")).alias("log_md5"), "template_id")
+    store = open_store(spark, "file", path)
+    store.set(seen)
+    store.delete(store.get().where("template_id = 'tmpl_0000'"))
+    return open_store(spark, "file", path).get().select("log_md5", "template_id")
+
+
 def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream of lines."""
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
     folder, name = path.rsplit("/", 1)
     source = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
-    return source.selectExpr("event_id", "concat(event_type, ' by user ', cast(user_id as string), ' in session ', cast(event_id % 97 as string)) as content", "cast(ts as timestamp) as ts")
+    return source.selectExpr("event_id", "user_id", "concat(event_type, ' by user ', cast(user_id as string), ' in session ', cast(event_id % 97 as string)) as content", "cast(ts as timestamp) as ts")
 
 
 def _drained(df: DataFrame, mode: str) -> DataFrame:
     """All that the stream yields, through an in-memory table."""
-    name = f"loomlog_stream_{abs(hash(df)) % 10**9}"
+    name = f"loomlog_stream_{uuid.uuid4().hex}"
     running = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
     running.awaitTermination()
     return df.sparkSession.table(name)
 
 
-@query("SELECT event_type || ' by user <*> in session <*>' AS template_pattern, count(*)::BIGINT AS count FROM events GROUP BY 1")
+#: The pattern of a streamed line; numbers of four digits and more are masked by the cleaner already.
+_STREAMED = "event_type || ' by user ' || CASE WHEN user_id >= 1000 THEN '<NUM>' ELSE '<*>' END || ' in session <*>'"
+
+
+@query(f"SELECT {_STREAMED} AS template_pattern, count(*)::BIGINT AS count FROM events GROUP BY 1")
 def stream_template_counts(spark, sf_dir):
     return _drained(stream.template_counts(_streamed(spark, sf_dir)), "complete")
 
 
-@query()
+@query(f"SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, {_STREAMED} AS template_pattern, count(*)::BIGINT AS count FROM events GROUP BY 1, 2")
 def stream_window_counts(spark, sf_dir):
-    return _drained(stream.windowed_counts(_streamed(spark, sf_dir)), "append")
+    """All windows, those still open at the end too."""
+    counts = _drained(stream.windowed_counts(_streamed(spark, sf_dir)), "complete")
+    return counts.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("""WITH e AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER w >= INTERVAL 2 HOUR, true) AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+  s AS (SELECT user_id, ts, sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM e)
+  SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*)::BIGINT AS count FROM s GROUP BY user_id, n""")
+def stream_sessions(spark, sf_dir):
+    found = _drained(stream.sessions(_streamed(spark, sf_dir), "user_id", gap="2 hours"), "complete")
+    return found.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "count")
+
+
+@query("SELECT DISTINCT event_type || ' by user ' || user_id::VARCHAR || ' in session ' || (event_id % 97)::VARCHAR AS content FROM events")
+def stream_without_repeats(spark, sf_dir):
+    return _drained(stream.without_repeats(_streamed(spark, sf_dir)), "append").select("content")
+
+
+@query(f"SELECT event_id AS seq, {_STREAMED} AS template_pattern FROM events")
+def stream_mined(spark, sf_dir):
+    """Every micro-batch is parsed with the templates known so far, and its rows are appended to a table."""
+    path, engine, state = _folder(spark), Pipeline(spark), {}
+
+    def parse(batch: DataFrame, number: int) -> None:
+        result = engine.parse_batch(batch.select(F.col("event_id").alias("seq"), "content"), state.get("known"))
+        result.templates, result.assignments = kept(result.templates), kept(result.assignments)
+        result.rows.select("seq", "template_pattern").write.mode("append").parquet(f"{path}/rows")
+        state["known"] = result
+
+    stream.mine(_streamed(spark, sf_dir), parse, f"{path}/checkpoint", once=True).awaitTermination()
+    return spark.read.schema("seq bigint, template_pattern string").parquet(f"{path}/rows")

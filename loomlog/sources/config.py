@@ -133,3 +133,10 @@ def load(path: str | None = None, places: tuple[str, ...] = ("config/config.yaml
         raise FileNotFoundError(path)
     named = {k: os.environ[v] for k, v in (("api_key", "LLM_API_KEY"), ("provider", "LLM_PROVIDER"), ("model", "LLM_MODEL")) if v in os.environ}
     return Config.from_dict({"llm": named})
+
+
+def create_default(path: str) -> Config:
+    """Write the default settings to a file."""
+    settings = Config()
+    settings.to_yaml(path)
+    return settings

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,8 +21,10 @@ def _numbered(spark: SparkSession, rows: DataFrame, files: list[str]) -> DataFra
     plus its place in the scan's partition grows along a file: a block that shares its partition with others is its file's last.  2^20
     files of 2^43 bytes have room.
     """
-    # a row for each file of the listing that the driver holds anyway
-    numbers = F.broadcast(spark.createDataFrame([(f, i) for i, f in enumerate(sorted(files))], "file string, number long"))
+    # a row for each file of the listing that the driver holds anyway; a scheme may be followed by one slash or by three
+    plain = [re.sub(r"^(\w+):/{2,}(?=/)", r"\1:", f) for f in sorted(files)]
+    numbers = F.broadcast(spark.createDataFrame([(f, i) for i, f in enumerate(plain)], "file string, number long"))
+    rows = rows.withColumn("file", F.regexp_replace("file", r"^(\w+):/{2,}(?=/)", "$1:"))
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     placed = rows.withColumn("place", F.col("start") + place)
     return placed.join(numbers, "file", "left").select((F.coalesce("number", F.lit(0)) * (1 << 43) + F.col("place")).alias("seq"), "content")

@@ -39,6 +39,10 @@ def without_repeats(lines: DataFrame, ts: str = "ts", late: str = "10 minutes")
     return lines.withWatermark(ts, late).dropDuplicatesWithinWatermark(["content"])
 
 
-def mine(lines: DataFrame, parse: Callable[[DataFrame, int], None], checkpoint: str):
-    """Start a query that hands each micro-batch to parse(batch, number), e.g. Pipeline.parse_batch with the known tables, then a write."""
-    return lines.writeStream.foreachBatch(parse).option("checkpointLocation", checkpoint).start()
+def mine(lines: DataFrame, parse: Callable[[DataFrame, int], None], checkpoint: str, once: bool = False):
+    """Start a query that hands each micro-batch to parse(batch, number), e.g. Pipeline.parse_batch with the known tables, then a write.
+
+    once: stop when all that is there now has been read.
+    """
+    writer = lines.writeStream.foreachBatch(parse).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()

@@ -139,6 +139,22 @@ def test_store(spark, tmp_path):
     assert {r.log_md5: r.exists for r in store.exists(entries).collect()} == {"m1": True, "m2": False}
     with pytest.raises(ValueError):
         open_store(spark, "punch cards")
+    with pytest.raises(ValueError):
+        open_store(spark, "file")
+
+
+def test_store_opens_again(spark, tmp_path):
+    one = lambda k, t: spark.createDataFrame([(k, t)], "log_md5 string, template_id string")
+    open_store(spark, "file", str(tmp_path / "s")).set(one("m1", "t1"))
+    again = open_store(spark, "file", str(tmp_path / "s"))
+    assert again.get().count() == 1
+    again.set(one("m2", "t2"))
+    (tmp_path / "s" / "v9").mkdir()  # a write that never ended
+    assert {r.log_md5 for r in open_store(spark, "file", str(tmp_path / "s")).get().collect()} == {"m1", "m2"}
+    memory = open_store(spark, "memory")
+    memory.set(one("m3", "t3"))
+    assert memory.get().count() == 1 and open_store(spark, "memory").get().count() == 0
+    assert open_store(spark, "memory", ttl=-1).exists(one("m3", "t3")).first().exists is False
 
 
 def test_match_by_pattern(spark):
@@ -155,3 +171,143 @@ def test_config(tmp_path, monkeypatch):
     assert config.substituted({"a": ["${DEPTH}", "${NONE:x}", 3]}) == {"a": ["7", "x", 3]}
     with pytest.raises(ValueError):
         config.PrefixTree(fuzzy_threshold=2)
+
+
+def test_digits_of_other_scripts_are_no_numbers(spark):
+    lines = ["١٢ alpha", "٣٤ alpha", "12 alpha", "34 alpha", "1.-2 alpha", "5- alpha", "-- alpha"]
+    df = spark.createDataFrame(list(enumerate(lines)), "seq bigint, cleaned string")
+    got = {r.seq: r.path for r in clusters.with_fuzzy_paths(df, 2, 0.8).collect()}
+    assert [got[i] for i in range(7)] == [["١٢", "alpha"], ["٣٤", "alpha"], ["12", "alpha"], ["12", "alpha"], ["12", "alpha"], ["12", "alpha"], ["--", "alpha"]]
+
+
+def test_lines_are_in_the_order_of_files(spark, tmp_path):
+    (tmp_path / "a b.txt").write_text("first of a\n")
+    (tmp_path / "c.txt").write_text("".join(f"line {i} of c\n" for i in range(20_000)))
+    (tmp_path / "d.txt").write_text("only of d\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "30000")  # c.txt in several blocks
+    try:
+        rows = files.text_lines(spark, str(tmp_path)).orderBy("seq").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r.content for r in rows] == ["first of a", *(f"line {i} of c" for i in range(20_000)), "only of d"] and len({r.seq for r in rows}) == 20_002
+
+
+def test_match_by_pattern_through_constant_words(spark):
+    t = spark.createDataFrame([("a", "<*> user <*> in"), ("b", "<*>"), ("c", "x<*> <*>y"), ("d", "<*> user bob in")], "template_id string, template_pattern string")
+    logs = spark.createDataFrame([("12 user al in",), ("12 user bob in",), ("xq qy",), ("superuser in",), ("user in",)], "cleaned string")
+    assert {r.cleaned: r.template_id for r in match.by_pattern(logs, t).collect()} == {"12 user al in": "a", "12 user bob in": "d", "xq qy": "c", "superuser in": "b", "user in": "b"}
+
+
+def test_pool_is_merged_and_rows_follow(spark):
+    base = "job alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu {} done"
+    lines = [base.format(x) for x in ("pq", "pr", "pq", "ps")] + ["nothing else is like this one"]
+    small = config.Config(merging=config.Merging(merge_above=2))
+    result = Pipeline(spark, small).parse_batch(files.list_lines(spark, lines))
+    rows = result.rows.orderBy("seq").collect()
+    assert [r.template_id for r in rows] == ["tmpl_0000"] * 4 + ["tmpl_0003"] and rows[1].template_pattern == base.format("<*>") and list(rows[1].variables.values()) == ["pr"]
+    assert {r.template_id: r["count"] for r in result.templates.collect()} == {"tmpl_0000": 4, "tmpl_0003": 1}
+    assert {r.template_id for r in result.assignments.collect()} == {"tmpl_0000", "tmpl_0003"}
+    off = config.Config(merging=config.Merging(merge_above=2, enable_auto_merge=False))
+    assert Pipeline(spark, off).parse_batch(files.list_lines(spark, lines)).templates.count() == 4
+
+
+def test_merge_folds_what_a_pool_holds(spark):
+    base = "a b c d e f g h i j k l m n {} end"
+    rows = [(k, base.format(x), 1, 0.9, [f"e{k}.{j}" for j in range(6)], [*base.format(x).split()], k) for k, x in enumerate(("x1", "x2"))]
+    t = spark.createDataFrame(rows, "i bigint, p string, count bigint, confidence double, example_logs array<string>, static_tokens array<string>, first_seq bigint")
+    r = merge.merged(t, merge.mergeable_pairs(t, 0.9)).first()
+    assert r.example_logs == [f"e0.{j}" for j in range(6)] + [f"e1.{j}" for j in range(4)] and r.static_tokens == base.replace("{} ", "").split() and r.first_seq == 0 and r.members == [0, 1]
+
+
+def test_match_modes_and_settings(spark, tmp_path):
+    stripped = config.Preprocessing(remove_timestamps=True)
+    engine = Pipeline(spark, config.Config(preprocessing=stripped))
+    old = [f"2024-01-01 10:00:0{i} INFO worker pool main started task {i}" for i in range(3)]
+    first = engine.parse_batch(files.list_lines(spark, old), match_mode="prefix")
+    assert [(r.path, r.template_id) for r in first.clusters.collect()] == [(["INFO", "worker", "pool", "main", "started"], "tmpl_0000")]
+    engine.save_state(str(tmp_path / "state"), first)
+    known = engine.load_state(str(tmp_path / "state"))
+    new = files.list_lines(spark, ["2024-01-02 10:00:00 INFO worker pool main started something else", "2024-01-02 10:00:00 INFO another kind of line", "short"])
+    ids = lambda r: [x.template_id for x in r.rows.orderBy("seq").collect()]
+    assert ids(engine.parse_batch(new, known, match_mode="prefix")) == ["tmpl_0000", "tmpl_0001", "unknown"]
+    assert ids(engine.parse_batch(new, known)) == ["tmpl_0001", "tmpl_0002", "unknown"]
+    assert ids(engine.parse_batch(files.list_lines(spark, ["INFO worker pool main started task x y"]), known, match_mode="pattern")) == ["tmpl_0000"]
+    with pytest.raises(ValueError):
+        engine.parse_batch(new, known, match_mode="guess")
+    strict = Pipeline(spark, config.Config(parsing=config.Parsing(min_confidence=0.86)))
+    assert set(ids(strict.parse_batch(new))) == {"unknown"} and strict.parse("INFO one whole line 7").template_id == "tmpl_0000"
+    no_cache = Pipeline(spark, config.Config(parsing=config.Parsing(use_cache=False)))
+    lines = files.list_lines(spark, ["INFO one whole line 7"])
+    assert no_cache.parse_batch(lines, no_cache.parse_batch(lines)).rows.first().cache_hit is False
+    with pytest.raises(ValueError):
+        Pipeline(spark, config.Config(llm=config.Extractor(provider="openai")))
+    own = Pipeline(spark, prepare=lambda c: F.regexp_replace(c, "secret", "***"))
+    assert own.parse("a secret line of text").original == "a secret line of text" and own.parse("a secret line of text").template_pattern == "a *** line of text"
+    uuid = "id 1b4e28ba-2fa1-11d2-883f-0016d3cca427 here"
+    assert Pipeline(spark, ladder="specific_first").parse(uuid).template_pattern == "id <*> here"
+
+
+def test_tree_without_repeated_lines(spark):
+    lines = files.list_lines(spark, ["same line of text"] * 5 + ["other line of text"])
+    engine = Pipeline(spark, config.Config(prefix_tree=config.PrefixTree(min_cluster_size=1, enable_fuzzy_matching=False)))
+    paths, found = engine.tree(lines)
+    assert paths.count() == 2 and found.count() == 2
+    every = Pipeline(spark, config.Config(preprocessing=config.Preprocessing(remove_duplicates=False), prefix_tree=config.PrefixTree(enable_fuzzy_matching=False)))
+    assert [r.size for r in every.tree(lines)[1].collect()] == [5]
+
+
+def test_extractor_awaits_together_and_falls_back_line_by_line(spark):
+    def connect():
+        import asyncio
+
+        class Client:
+            async def one(self, text):
+                await asyncio.sleep(0.05)
+                if "bad" in text:
+                    raise OSError("no answer")
+                return text.upper()
+
+        return Client()
+
+    texts = spark.createDataFrame([(f"n {i}",) for i in range(40)] + [("bad",)], "text string").coalesce(1)
+    got = {r.text: r.template_pattern for r in extract.external(texts, connect, retries=0).collect()}
+    assert got["bad"] is None and got["n 7"] == "N 7" and len(got) == 41
+
+
+def test_statistics_document(spark):
+    engine = Pipeline(spark)
+    result = engine.parse_batch(files.list_lines(spark, LINES))
+    rows = result.rows
+    result.rows = rows
+    paths, found = engine.tree(files.list_lines(spark, LINES))
+    calls = spark.createDataFrame([(1500, "gpt-3.5-turbo")], "tokens bigint, model string")
+    r = engine.statistics(result, paths, found, calls).first()
+    assert r.parse.total_logs == 7 and r.parse.failed == 3 and r.pool.total_templates == 2 and r.llm.estimated_cost_usd == 0.0015 and r.tree.total_logs == 3 and r.cache.hits == 0  # two lines are alike when cleaned
+
+
+def test_ordered_pairs(spark):
+    pairs = spark.createDataFrame([(1, 2, 0.9), (0, 3, 0.95), (0, 2, 0.9)], "i bigint, j bigint, similarity double")
+    assert [(r.i, r.j) for r in merge.ordered(pairs).orderBy("place").collect()] == [(0, 3), (0, 2), (1, 2)]
+
+
+def test_config_goes_to_yaml_and_back(tmp_path):
+    own = config.Config(merging=config.Merging(merge_above=7), llm=config.Extractor(model="m"))
+    own.to_yaml(str(tmp_path / "deep" / "c.yaml"))
+    assert config.load(str(tmp_path / "deep" / "c.yaml")) == own
+    config.create_default(str(tmp_path / "new.yaml"))
+    assert config.load(str(tmp_path / "new.yaml")) == config.Config()
+
+
+def test_few_shot_prompt(spark):
+    from loomlog.functions import prompts
+
+    text = spark.range(1).select(prompts.extraction(F.lit("x 1"), ["User 5 in"])).first()[0]
+    assert "Example 1\nLine: User 5 in\nTemplate: User <*> in" in text and text.endswith("Line: x 1\nTemplate:")
+
+
+def test_evicted(spark):
+    from loomlog.sources.store import evicted
+
+    rows = spark.createDataFrame([(f"m{i}", i) for i in range(5)], "log_md5 string, accessed_at bigint")
+    assert {r.log_md5 for r in evicted(rows, 2).collect()} == {"m3", "m4"}
