@@ -3,32 +3,59 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomlog.functions.similarity import merge_pad, merge_truncate, pattern_similarity, should_merge
+from loomlog.functions.text import words
 from loomlog.operators.components import components
 from loomlog.operators.tables import kept, ranked
 
 PENALTY = 0.95
 
 
+def _blocks(p: Column, share: float, longer: bool) -> Column:
+    """Keys of which two patterns have one in common if at least `share` of the places of the longer one are equal.
+
+    Of n places at most k differ, so of k + 1 stretches of places one is equal.  A pattern gives a key for each stretch of its own
+    length, or, as the shorter one, for those of every length that the longer one may have.
+    """
+    ts = words(p)
+    n = F.size(ts)
+    apart = lambda m: F.floor(m * (1 - share) + 1e-9).cast("int") + 1
+    edge = lambda m, s: F.floor(s * m / apart(m)).cast("int")
+    one = lambda m: F.transform(F.sequence(F.lit(0), apart(m) - 1), lambda s: F.struct(m.alias("n"), s.alias("s"), F.xxhash64(F.slice(ts, edge(m, s) + 1, edge(m, s + 1) - edge(m, s))).alias("h")))
+    lengths = F.array(n) if longer else F.sequence(n, F.floor(n / share + 1e-9).cast("int"))
+    return F.when(n > 0, F.flatten(F.transform(lengths, one)))
+
+
 def mergeable_pairs(templates: DataFrame, threshold: float = 0.9, max_edit: int = 3) -> DataFrame:
     """i < j, p, q, similarity of templates (i, p) that should merge.
 
-    At most `max_edit` edits change the length by as much, so pairs meet on a length within that range: an equi-join.
-    With max_edit 0 the lengths say nothing, and similarity >= threshold bounds the ratio of token counts instead.
+    A similarity of `threshold` asks for (threshold - 0.3) / 0.7 of the places to be equal, so pairs meet on stretches of words: an
+    equi-join.  Where that is nothing, `max_edit` edits change the length by as much, and pairs meet on a length within that range; if there
+    is no such bound either, on a number of words.
     """
+    share = (threshold - 0.3) / 0.7
     left = templates.select(F.col("i"), F.col("p"))
     right = templates.select(F.col("i").alias("j"), F.col("p").alias("q"))
-    if max_edit:
-        left = left.withColumn("_b", F.explode(F.sequence(F.length("p") - max_edit, F.length("p") + max_edit)))
-        right = right.withColumn("_b", F.length("q"))
+    if share > 0.05:
+        near = left.withColumn("_b", F.explode(_blocks(F.col("p"), share, True))).join(right.withColumn("_b", F.explode(_blocks(F.col("q"), share, False))), "_b").where("i <> j")
+        if max_edit:
+            near = near.where(F.abs(F.length("p") - F.length("q")) <= max_edit)
+        swap = F.col("i") > F.col("j")
+        sides = [F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("i", "j"), ("j", "i"), ("p", "q"), ("q", "p"))]
+        near = near.select(*sides).distinct()
     else:
-        n, least = F.size(F.split("p", r"\s+")), max(threshold, 1e-6)
-        left = left.withColumn("_b", F.explode(F.sequence(F.ceil(n * least).cast("int"), F.floor(n / least).cast("int"))))
-        right = right.withColumn("_b", F.size(F.split("q", r"\s+")))
-    near = left.join(right, "_b").where("i < j").where(should_merge(F.col("p"), F.col("q"), threshold, max_edit))
+        if max_edit:
+            left = left.withColumn("_b", F.explode(F.sequence(F.length("p") - max_edit, F.length("p") + max_edit)))
+            right = right.withColumn("_b", F.length("q"))
+        else:
+            n, least = F.size(F.split("p", r"\s+")), max(threshold, 1e-6)
+            left = left.withColumn("_b", F.explode(F.sequence(F.ceil(n * least).cast("int"), F.floor(n / least).cast("int"))))
+            right = right.withColumn("_b", F.size(F.split("q", r"\s+")))
+        near = left.join(right, "_b").where("i < j")
+    near = near.where(should_merge(F.col("p"), F.col("q"), threshold, max_edit))
     return near.select("i", "j", "p", "q", pattern_similarity(F.col("p"), F.col("q")).alias("similarity"))
 
 

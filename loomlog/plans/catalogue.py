@@ -116,9 +116,15 @@ def _cleaned_logs(spark, sf_dir, config=None) -> DataFrame:
 
 
 def _mined_rows(spark, sf_dir) -> DataFrame:
+    """Lazy: for queries that read the rows once."""
     return _cleaned_logs(spark, sf_dir).where("valid").withColumn("template_pattern", text.heuristic_template(F.col("cleaned")))
 
 
+def _mined_once(spark, sf_dir) -> DataFrame:
+    """Kept: for queries that read the rows several times."""
+    return kept(_mined_rows(spark, sf_dir))
+
+
 # ---------------------------------------------------------------- scans, cleaning, validity
 
 _LINES = rf"lines AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10)))))::INTEGER AS pos, {_strip('unnest(string_split(text, chr(10)))')} AS content FROM documents)"
@@ -251,7 +257,7 @@ _NODES = "n AS (SELECT list_slice(path, 1, d) AS node, count(*) AS lines FROM p,
 
 def _exact(spark, sf_dir) -> DataFrame:
     rows = _cleaned_logs(spark, sf_dir, _STRIPPED).where("valid").withColumn("log_id", F.col("seq").cast("string"))
-    return clusters.with_exact_paths(rows)
+    return kept(clusters.with_exact_paths(rows).select("seq", "log_id", "path"))
 
 
 @query(f"WITH {_CLUSTERS} SELECT array_to_string(path, '|') AS path, size FROM k")
@@ -408,7 +414,7 @@ def merge_batch(spark, sf_dir):
 
 @query(f"WITH {_MINED}, a AS (SELECT * FROM t WHERE template_id = 'tmpl_0000'), b AS (SELECT * FROM t WHERE template_id = 'tmpl_0001'), x AS (SELECT a.template_id, a.template_pattern AS p, b.template_pattern AS q, a.count + b.count AS count FROM a, b) SELECT template_id, {_MERGED('least')} AS template_pattern, count, 0.9::DOUBLE AS confidence FROM x")
 def pool_merge(spark, sf_dir):
-    t = pool.mined(_mined_rows(spark, sf_dir))
+    t = pool.mined(_mined_once(spark, sf_dir))
     return merge.pool_merge(t.where("template_id = 'tmpl_0000'"), t.where("template_id = 'tmpl_0001'"))
 
 
@@ -418,14 +424,14 @@ _KNOWN = "SELECT md5(content) AS log_md5, min(template_id) AS template_id FROM v
 
 
 def _known_kinds(spark, sf_dir) -> DataFrame:
-    rows = _mined_rows(spark, sf_dir)
+    rows = _mined_once(spark, sf_dir)
     t = pool.mined(rows).select("template_id", "template_pattern")
     return rows.where("truth in ('click', 'error')").join(t, "template_pattern").groupBy(F.md5(F.col("content").cast("binary")).alias("log_md5")).agg(F.min("template_id").alias("template_id"))
 
 
 @query(f"WITH {_MINED} SELECT seq, template_id FROM v JOIN t USING (template_pattern)")
 def assign_templates(spark, sf_dir):
-    rows = _mined_rows(spark, sf_dir)
+    rows = _mined_once(spark, sf_dir)
     return rows.join(pool.mined(rows).select("template_pattern", "template_id"), "template_pattern").select("seq", "template_id")
 
 
@@ -451,7 +457,7 @@ def fallback_rows(spark, sf_dir):
        "new AS (SELECT template_pattern, count, (SELECT max(k) FROM old) + row_number() OVER (ORDER BY first_seq) AS k FROM b WHERE template_pattern NOT IN (SELECT template_pattern FROM a)) "
        "SELECT 'tmpl_' || lpad(k::VARCHAR, 4, '0') AS template_id, template_pattern, count::BIGINT AS count FROM (FROM old UNION ALL SELECT template_pattern, count, k FROM new)")
 def upsert_templates(spark, sf_dir):
-    rows = _mined_rows(spark, sf_dir)
+    rows = _mined_once(spark, sf_dir)
     return pool.upsert(pool.mined(rows.where("truth in ('click', 'view')")), pool.mined(rows.where("truth <> 'click'"))).select("template_id", "template_pattern", "count")
 
 
@@ -504,7 +510,7 @@ _ARI = """s AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM g)::DOUBLE AS i, (SELEC
 
 
 def _labels(spark, sf_dir) -> DataFrame:
-    return _mined_rows(spark, sf_dir).select("seq", F.col("template_pattern").alias("pred"), "truth")
+    return kept(_mined_rows(spark, sf_dir).select("seq", F.col("template_pattern").alias("pred"), "truth"))
 
 
 def _coarse(df: DataFrame) -> DataFrame:
@@ -547,7 +553,7 @@ _TWO_POOLS = "m2 AS (SELECT template_pattern, min(seq) AS first_seq FROM v WHERE
 
 
 def _two_pools(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    rows = _mined_rows(spark, sf_dir)
+    rows = _mined_once(spark, sf_dir)
     first = rows.agg(F.min("seq").alias("first"))
     later = rows.join(first, F.col("seq") >= F.col("first") + 3).drop("first")
     return tuple(pool.mined(r).select("template_id", F.col("template_pattern").alias("pattern")) for r in (later, rows))
@@ -716,7 +722,7 @@ def scan_text(spark, sf_dir):
 
 @query(f"WITH {_MINED} SELECT template_id, template_pattern, count FROM t")
 def templates_round_trip(spark, sf_dir):
-    path, rows = _folder(spark), _mined_rows(spark, sf_dir)
+    path, rows = _folder(spark), _mined_once(spark, sf_dir)
     files.write_templates(pool.pool_rows(pool.mined(rows), pool.last_examples(rows)), path)
     return files.read_templates(spark, path).select("template_id", "template_pattern", "count")
 
@@ -724,7 +730,7 @@ def templates_round_trip(spark, sf_dir):
 @query(f"WITH {_MINED}, h AS ({_KNOWN}), a AS (SELECT md5(content) AS log_md5, min(template_id) AS template_id FROM v JOIN t USING (template_pattern) WHERE truth = 'view' GROUP BY 1) SELECT log_md5, template_id FROM h WHERE template_id <> 'tmpl_0000' UNION ALL SELECT log_md5, template_id FROM a WHERE log_md5 NOT IN (SELECT log_md5 FROM h) AND template_id <> 'tmpl_0000'")
 def store_round_trip(spark, sf_dir):
     """Known lines set in two steps by two openings of one store, and some deleted."""
-    path, rows = _folder(spark), _mined_rows(spark, sf_dir)
+    path, rows = _folder(spark), _mined_once(spark, sf_dir)
     open_store(spark, "file", path).set(_known_kinds(spark, sf_dir))
     t = pool.mined(rows).select("template_id", "template_pattern")
     seen = rows.where("truth = 'view'").join(t, "template_pattern").select(F.md5(F.col("content").cast("binary")).alias("log_md5"), "template_id")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from loomlog.functions.text import clean, is_valid
 from loomlog.operators import clusters, match, merge, pool, stats
 from loomlog.operators.extract import with_templates
+from loomlog.operators.tables import kept
 from loomlog.sources import files
 from loomlog.sources.config import Config
 
@@ -83,9 +84,12 @@ class Pipeline:
         if known is not None:
             mined = mined.withColumn("template_pattern", F.coalesce("_known", "template_pattern")).withColumn("_found", F.col("_known").isNotNull()).drop("_known")
         mined = mined.drop("_id").withColumn("template_pattern", F.when(F.col("valid") & F.lit(confidence >= c.parsing.min_confidence), F.col("template_pattern")))
+        # a line's regular expressions cost far more than to write and read it, and its row is needed three times
+        mined = kept(mined)
         templates = pool.mined(mined, confidence=confidence).select("template_id", "template_pattern", "count", "first_seq", "confidence")
         if known is not None:
             templates = pool.upsert(known.templates, templates)
+        templates = kept(templates)
         # the pool has a row for each pattern: Spark broadcasts it if its size allows
         named = mined.join(templates.select("template_id", "template_pattern"), "template_pattern", "left")
         found = named.where("valid and template_id is not null").groupBy(F.md5(F.col("content").cast("binary")).alias("log_md5")).agg(F.min("template_id").alias("template_id"))
@@ -135,6 +139,7 @@ class Pipeline:
             paths = clusters.with_fuzzy_paths(rows, t.max_depth, t.fuzzy_threshold, delimiter=t.token_delimiter)
         else:
             paths = clusters.with_exact_paths(rows, t.max_depth, delimiter=t.token_delimiter)
+        paths = kept(paths)
         return paths, clusters.clusters(paths, t.min_cluster_size)
 
     def statistics(self, result: Result, paths: DataFrame, found: DataFrame, calls: DataFrame) -> DataFrame:
