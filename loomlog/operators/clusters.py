@@ -96,14 +96,53 @@ def _similar(a: str, b: str, threshold: float) -> float:
     return 1 - row[-1] / longer
 
 
+def _pieces(n: int, parts: int) -> list[tuple[int, int]]:
+    return [(i * n // parts, (i + 1) * n // parts) for i in range(parts)]
+
+
+def _keys(token: str, threshold: float) -> list[str]:
+    """Keys of which two different tokens have one in common if token_similarity() gives them `threshold` or more.
+
+    Numeric tokens share one, as do the tokens of a kind.  Otherwise at most k characters of the longer token's length are edited, so of
+    k + 1 pieces of the shorter one some is whole in the longer one, moved by k places at most.
+    """
+    keys = set()
+    if threshold <= 0.9 and _NUMERIC.match(token):
+        keys.add("n")
+    if threshold <= 0.85:
+        keys.update(f"k{i}" for i, k in enumerate(_KINDS) if k.match(token))
+    n, edits = len(token), lambda longer: int((1 - threshold) * longer + 1e-9)
+    for longer in range(n, int(n / threshold + 1e-9) + 1):  # as the shorter one
+        k = edits(longer)
+        keys.update(f"{n}/{longer}/{i}/{token[a:b]}" for i, (a, b) in enumerate(_pieces(n, k + 1)))
+    k = edits(n)
+    for shorter in range(max(n - k, 0), n + 1):  # as the longer one
+        for i, (a, b) in enumerate(_pieces(shorter, k + 1)):
+            keys.update(f"{shorter}/{n}/{i}/{token[at:at + b - a]}" for at in range(max(a - k, 0), min(a + k, n - (b - a)) + 1))
+    return sorted(keys)
+
+
 def _leaders(threshold: float):
-    """Of each parent's distinct tokens, in order of arrival, those that no earlier leader is similar to."""
+    """Of each parent's distinct tokens, in order of arrival, those that no earlier leader is similar to.
+
+    Leaders are found by their keys, so the work grows with the tokens and not with the pairs of them.
+    """
 
     def choose(batch: pd.DataFrame) -> pd.DataFrame:
         chosen: list[tuple[str, int]] = []
+        by_key: dict[str, list[str]] = {}
         for token, seq in batch.sort_values(["first_seq", "token"])[["token", "first_seq"]].itertuples(index=False):
-            if not any((s := _similar(token, other, threshold)) >= threshold and s > 0 for other, _ in chosen):
+            keys = _keys(token, threshold)
+            tried: set[str] = set()
+            for other in (o for k in keys for o in by_key.get(k, ())):
+                if other not in tried:
+                    tried.add(other)
+                    if (s := _similar(token, other, threshold)) >= threshold and s > 0:
+                        break
+            else:
                 chosen.append((token, seq))
+                for k in keys:
+                    by_key.setdefault(k, []).append(token)
         return pd.DataFrame({"parent": [batch["parent"].iloc[0]] * len(chosen), "leader": [t for t, _ in chosen], "created": [s for _, s in chosen]})
 
     return choose
@@ -113,17 +152,23 @@ def with_fuzzy_paths(logs: DataFrame, depth: int = 5, threshold: float = 0.8, te
     """logs with path, its tokens replaced by their leaders.
 
     A level takes distinct (parent, token) only; each occurrence goes to the most similar leader that existed when it came (ties:
-    the earliest).  The result of every level is kept, so the lineage stays short.
+    the earliest).  Tokens meet leaders on keys that similar ones share.  The result of every level is kept, so the lineage stays short.
     """
     sep = "\u0001"
+
+    @F.pandas_udf("array<string>")
+    def keys(tokens: pd.Series) -> pd.Series:
+        return tokens.map(lambda t: _keys(t, max(threshold, 0.05)))
+
     state = logs.withColumn("_t", path(F.col(text), depth, delimiter)).withColumn("_p", F.lit(""))
     for level in range(1, depth + 1):
         here = state.where(F.size("_t") >= level).select("seq", F.col("_p").alias("parent"), F.element_at("_t", level).alias("token"))
-        distinct = here.groupBy("parent", "token").agg(F.min("seq").alias("first_seq"))
-        leaders = distinct.groupBy("parent").applyInPandas(_leaders(threshold), "parent string, leader string, created long")
-        leaders = kept(leaders)
-        score = token_similarity(F.col("token"), F.col("leader"))
-        pairs = distinct.select("parent", "token").join(leaders, "parent").withColumn("s", score).where((F.col("s") >= threshold) & (F.col("s") > 0))
+        distinct = kept(here.groupBy("parent", "token").agg(F.min("seq").alias("first_seq")))
+        leaders = kept(distinct.groupBy("parent").applyInPandas(_leaders(max(threshold, 0.05)), "parent string, leader string, created long"))
+        spread = lambda df, c: df.withColumn("_k", F.explode(keys(F.col(c))))
+        same = leaders.select("parent", F.col("leader").alias("token"), "leader", "created")
+        met = spread(distinct.select("parent", "token"), "token").join(spread(leaders, "leader"), ["parent", "_k"]).select("parent", "token", "leader", "created").unionByName(same).distinct()
+        pairs = met.withColumn("s", token_similarity(F.col("token"), F.col("leader"))).where((F.col("s") >= threshold) & (F.col("s") > 0))
         rows = here.join(pairs, ["parent", "token"]).where("created <= seq")
         chosen = rows.groupBy("seq").agg(F.min_by("leader", F.struct(-F.col("s"), "created")).alias("_leader"))
         state = state.join(chosen, "seq", "left").withColumn("_p", F.when(F.col("_leader").isNotNull(), F.concat("_p", F.lit(sep), "_leader")).otherwise(F.col("_p"))).drop("_leader")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlog.operators.tables import kept
+from loomlog.operators.tables import dropped, kept
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,6 +18,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = kept(edges.select("u", "v").where("u <> v").distinct())
     labels = None
     while True:
+        before = [edges, labels] if labels is not None else [edges]
         to = edges.union(edges.select("v", "u")).groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("to"))
         to = kept(to)
         if labels is None:
@@ -28,5 +29,7 @@ def components(edges: DataFrame) -> DataFrame:
         left = to.select(F.col("node").alias("u"), F.col("to").alias("u2"))
         right = to.select(F.col("node").alias("v"), F.col("to").alias("v2"))
         edges = kept(edges.join(left, "u").join(right, "v").where("u2 <> v2").select(F.least("u2", "v2").alias("u"), F.greatest("u2", "v2").alias("v")).distinct())
+        dropped(to, *before)
         if edges.isEmpty():
+            dropped(edges)
             return labels

@@ -34,7 +34,7 @@ def mergeable_pairs(templates: DataFrame, threshold: float = 0.9, max_edit: int
 
     A similarity of `threshold` asks for (threshold - 0.3) / 0.7 of the places to be equal, so pairs meet on stretches of words: an
     equi-join.  Where that is nothing, `max_edit` edits change the length by as much, and pairs meet on a length within that range; if there
-    is no such bound either, on a number of words.
+    is no such bound either, on a common word.
     """
     share = (threshold - 0.3) / 0.7
     left = templates.select(F.col("i"), F.col("p"))
@@ -46,15 +46,11 @@ def mergeable_pairs(templates: DataFrame, threshold: float = 0.9, max_edit: int
         swap = F.col("i") > F.col("j")
         sides = [F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("i", "j"), ("j", "i"), ("p", "q"), ("q", "p"))]
         near = near.select(*sides).distinct()
-    else:
-        if max_edit:
-            left = left.withColumn("_b", F.explode(F.sequence(F.length("p") - max_edit, F.length("p") + max_edit)))
-            right = right.withColumn("_b", F.length("q"))
-        else:
-            n, least = F.size(F.split("p", r"\s+")), max(threshold, 1e-6)
-            left = left.withColumn("_b", F.explode(F.sequence(F.ceil(n * least).cast("int"), F.floor(n / least).cast("int"))))
-            right = right.withColumn("_b", F.size(F.split("q", r"\s+")))
-        near = left.join(right, "_b").where("i < j")
+    elif max_edit:
+        near = left.withColumn("_b", F.explode(F.sequence(F.length("p") - max_edit, F.length("p") + max_edit))).join(right.withColumn("_b", F.length("q")), "_b").where("i < j")
+    else:  # a similarity above 0 asks for a common word; 0 for nothing
+        word = lambda c: F.explode(F.array_distinct(words(F.col(c)))) if threshold > 0 else F.lit(0)
+        near = left.withColumn("_b", word("p")).join(right.withColumn("_b", word("q")), "_b").where("i < j").select("i", "j", "p", "q").distinct()
     near = near.where(should_merge(F.col("p"), F.col("q"), threshold, max_edit))
     return near.select("i", "j", "p", "q", pattern_similarity(F.col("p"), F.col("q")).alias("similarity"))
 

@@ -40,6 +40,49 @@ def test_fuzzy_paths_equal_sequential_insertion(spark):
     assert [got[i] for i in range(len(lines))] == one_by_one(lines, 3, 0.75)
 
 
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.75, 0.8, 0.87, 0.95, 1.0])
+def test_similar_tokens_share_a_key(threshold):
+    rng = random.Random(6)
+    tokens = {"".join(rng.choice("ab1.-") for _ in range(rng.randint(1, 14))) for _ in range(150)} | {"10.0.0.1", "10.0.0.2", "a" * 32, "b" * 32, "2024-01-01", "2024-01-02"}
+    for t in list(tokens)[:60]:
+        at = rng.randrange(len(t))
+        tokens |= {t[:at] + t[at + 1 :], t[:at] + "x" + t[at:], t[:at] + "y" + t[at + 1 :]} - {""}
+    keys = {t: set(clusters._keys(t, threshold)) for t in tokens}
+    met = 0
+    for a in tokens:
+        for b in tokens:
+            if a < b and clusters._similar(a, b, 0.0) >= threshold:
+                met += 1
+                assert keys[a] & keys[b], (a, b)
+    assert met or threshold >= 0.95
+
+
+@pytest.mark.parametrize("threshold", [0.4, 0.8, 0.9])
+def test_fuzzy_paths_of_many_tokens(spark, threshold):
+    rng = random.Random(9)
+    stems = ["session", "request", "worker", "thread", "10.0.0.", "", "node-"]
+    lines = [" ".join(rng.choice(stems) + str(rng.randrange(40)) for _ in range(rng.randint(1, 3))) for _ in range(200)]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(lines)], "seq bigint, cleaned string")
+    got = {r.seq: r.path for r in clusters.with_fuzzy_paths(df, 3, threshold).collect()}
+    assert [got[i] for i in range(len(lines))] == one_by_one(lines, 3, threshold)
+
+
+@pytest.mark.parametrize("threshold", [0.2, 0.6, 0.9])
+def test_mergeable_pairs_against_all_pairs(spark, threshold):
+    from loomlog.functions.similarity import pattern_similarity, should_merge
+
+    rng = random.Random(17)
+    patterns = {" ".join(rng.choice("abcde") for _ in range(rng.randint(1, 12))) for _ in range(60)}
+    patterns |= {p.replace("a", "f", 1) for p in patterns} | {p + " z" for p in list(patterns)[:20]}
+    long = [f"w{i}" for i in range(24)]
+    patterns |= {" ".join(long[:k] + [x] + long[k + 1 :]) for k in (0, 7, 23) for x in "pq"} | {" ".join(long), " ".join(long[:-1]), " ".join(long[1:])}
+    t = spark.createDataFrame(list(enumerate(sorted(patterns))), "i bigint, p string")
+    every = t.join(t.select(F.col("i").alias("j"), F.col("p").alias("q")), F.col("i") < F.col("j"))
+    for edits in (3, 0):
+        want = {(r.i, r.j) for r in every.where(should_merge(F.col("p"), F.col("q"), threshold, edits)).collect()}
+        assert {(r.i, r.j) for r in merge.mergeable_pairs(t, threshold, edits).collect()} == want and want
+
+
 def test_clusters_lookup_and_drawing(spark):
     rows = [(0, "a b c"), (1, "a b c"), (2, "a b d"), (3, "a b c"), (4, "q")]
     paths = clusters.with_exact_paths(spark.createDataFrame([(s, t, str(s)) for s, t in rows], "seq bigint, cleaned string, log_id string"), 3)
