@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlog.llm.common import LOWER, U64, Words, kept, list_array, mix, runs, shared_dir, shuffle_partitions, signed, slices, spread_join
+from loomlog.llm.common import LOWER, U64, Words, dropped, kept, list_array, mix, runs, shared_dir, shuffle_partitions, signed, slices, spread_join
 from loomlog.operators.components import components
 
 TREES, DEPTH, RUN, LEAST, NEAR = 24, 6, 3, 2, 3
@@ -269,15 +269,18 @@ def classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     links = kept(verified(best, docs, k, percent))
     label = components(links.select(F.col("x").alias("u"), F.col("y").alias("v")))
     rest = kept(_apart(pairs, label).select("x", "y").join(best, ["x", "y"], "left_anti"))
+    spent = [near, best, rest, links, label]
     links = kept(links.union(verified(rest, docs, k, percent)))
     label = components(links.select(F.col("x").alias("u"), F.col("y").alias("v")))
     if not runs_of.isEmpty():
         families = components(runs_of).withColumnRenamed("label", "family").join(label, "node", "left").select("node", "family", F.coalesce("label", "node").alias("comp"))
         new = kept(completed(families, docs, k, percent))
+        spent += [new, links, label]
         if not new.isEmpty():
             links = kept(links.union(new))
             label = components(links.select(F.col("x").alias("u"), F.col("y").alias("v")))
     named = kept(groups.join(label, "node", "left").select("h1", "h2", "n", "copies", F.coalesce("label", "node").alias("c")))
+    dropped(*spent, links, label, groups)
     some = sig.where("n > 0").select("doc_id", "h1", "h2", "n")
     total = named.agg(F.sum("copies")).first()[0] or 0
     out = spread_join(some, named, ["h1", "h2", "n"], "copies", total).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))

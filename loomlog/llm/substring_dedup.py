@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlog.llm.common import folded, kept, runs, signed, slices, spread_join
+from loomlog.llm.common import dropped, folded, kept, runs, signed, slices, spread_join
 
 SEED = 5
 _NULL = -(1 << 63)
@@ -108,7 +108,8 @@ def repeats(docs: DataFrame, length: int = 20) -> DataFrame:
     anchors = kept(texts.mapInArrow(_anchors(length), "d long, t long, seed long, context long, lo int, n int"))
     often = kept(anchors.groupBy("seed").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"))
     total = often.agg(F.sum("_n")).first()[0] or 0
-    anchors = kept(spread_join(anchors, often, ["seed"], "_n", total).drop("_n"))
+    every, anchors = anchors, kept(spread_join(anchors, often, ["seed"], "_n", total).drop("_n"))
+    dropped(every, often)
     kinds = anchors.groupBy("seed", "context").agg(F.min(F.struct("d", "t", "lo", "n")).alias("f"), F.count(F.lit(1)).alias("_n"))
     kinds = kept(kinds.select("seed", "context", F.col("f.d").alias("sd"), F.col("f.t").alias("st"), F.col("f.lo").alias("slo"), F.col("f.n").alias("sn"), "_n"))
     later = "d <> sd or t <> st or lo <> slo"

@@ -75,7 +75,7 @@ def selected(words: Words, model: Model) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(text: np.ndarray, term: np.ndarray, label: np.ndarray, terms: np.ndarray, prior: float, rank: int = 4, rounds: int = 600, rate: float = 0.1, shrink: float = 5e-4) -> Model:
-    """Weighted logistic loss by Adam; classes are weighted to the share `prior` of label 1."""
+    """Weighted logistic loss by Adam; classes are weighted to the share `prior` of label 1.  Rank 0 is the additive model."""
     n, m = len(label), len(terms)
     rng = np.random.Generator(np.random.PCG64(7))
     share = label.mean()
@@ -89,9 +89,9 @@ def fit(text: np.ndarray, term: np.ndarray, label: np.ndarray, terms: np.ndarray
         model = Model(float(theta[0][0]), terms, theta[1], theta[2])
         slope = weight * (sigmoid(model.margins(text, term, n)) - label)
         s = slope[text]
-        sums = np.stack([np.bincount(text, v[term, f], n) for f in range(rank)], 1) if len(term) else np.zeros((n, rank))
+        sums = np.stack([np.bincount(text, v[term, f], n) for f in range(rank)], 1) if len(term) and rank else np.zeros((n, rank))
         grad_w = np.bincount(term, s, m) / frequency**0.5 + shrink * w
-        grad_v = np.stack([np.bincount(term, s * (sums[text, f] - v[term, f]), m) for f in range(rank)], 1) + shrink * v
+        grad_v = np.stack([np.bincount(term, s * (sums[text, f] - v[term, f]), m) for f in range(rank)], 1) + shrink * v if rank else v
         for x, g, a, c in zip(theta, (np.array([slope.sum()]), grad_w, grad_v), m1, m2, strict=True):
             a += 0.1 * (g - a)
             c += 0.01 * (g * g - c)
