@@ -66,9 +66,9 @@ def external(texts: DataFrame, connect: Callable[[], Callable[[list[str]], list[
     return texts.select("text").distinct().mapInPandas(rows, "text string, template_pattern string")
 
 
-def with_templates(rows: DataFrame, connect: Callable | None = None, text: str = "cleaned", ladder: str = "default") -> DataFrame:
+def with_templates(rows: DataFrame, connect: Callable | None = None, text: str = "cleaned", ladder: str = "default", retries: int = 3, delay: float = 1.0) -> DataFrame:
     """rows with template_pattern."""
     if connect is None:
         return rows.withColumn("template_pattern", heuristic_template(F.col(text), ladder))
-    found = external(rows.select(F.col(text).alias("text")), connect)
+    found = external(rows.select(F.col(text).alias("text")), connect, retries, delay)
     return rows.join(found.withColumnRenamed("text", "_text"), F.col(text) == F.col("_text"), "left").drop("_text")

@@ -80,7 +80,7 @@ class Pipeline:
             rows = fits.drop("template_id", "template_pattern")
         if known is not None:
             rows = rows.join(known.templates.select(F.col("template_id").alias("_id"), F.col("template_pattern").alias("_known")), "_id", "left")
-        mined = with_templates(rows, self.connect, ladder=self.ladder)
+        mined = with_templates(rows, self.connect, ladder=self.ladder, retries=c.llm.max_retries, delay=c.llm.retry_delay)
         if known is not None:
             mined = mined.withColumn("template_pattern", F.coalesce("_known", "template_pattern")).withColumn("_found", F.col("_known").isNotNull()).drop("_known")
         mined = mined.drop("_id").withColumn("template_pattern", F.when(F.col("valid") & F.lit(confidence >= c.parsing.min_confidence), F.col("template_pattern")))
