@@ -14,13 +14,12 @@ from loomlog.operators.tables import kept, ranked
 PENALTY = 0.95
 
 
-def _blocks(p: Column, share: float, longer: bool) -> Column:
+def _blocks(ts: Column, share: float, longer: bool) -> Column:
     """Keys of which two patterns have one in common if at least `share` of the places of the longer one are equal.
 
     Of n places at most k differ, so of k + 1 stretches of places one is equal.  A pattern gives a key for each stretch of its own
     length, or, as the shorter one, for those of every length that the longer one may have.
     """
-    ts = words(p)
     n = F.size(ts)
     apart = lambda m: F.floor(m * (1 - share) + 1e-9).cast("int") + 1
     edge = lambda m, s: F.floor(s * m / apart(m)).cast("int")
@@ -32,22 +31,23 @@ def _blocks(p: Column, share: float, longer: bool) -> Column:
 def mergeable_pairs(templates: DataFrame, threshold: float = 0.9, max_edit: int = 3) -> DataFrame:
     """i < j, p, q, similarity of templates (i, p) that should merge.
 
-    A similarity of `threshold` asks for (threshold - 0.3) / 0.7 of the places to be equal, so pairs meet on stretches of words: an
-    equi-join.  Where that is nothing, `max_edit` edits change the length by as much, and pairs meet on a length within that range; if there
-    is no such bound either, on a common word.
+    At most `max_edit` edits change the length by as much, so pairs meet on a length within that range: an equi-join.  Without such a bound, a similarity
+    of `threshold` asks for (threshold - 0.3) / 0.7 of the places to be equal, so they meet on stretches of words, and where that is nothing
+    on a common word.
     """
     share = (threshold - 0.3) / 0.7
     left = templates.select(F.col("i"), F.col("p"))
     right = templates.select(F.col("i").alias("j"), F.col("p").alias("q"))
-    if share > 0.05:
-        near = left.withColumn("_b", F.explode(_blocks(F.col("p"), share, True))).join(right.withColumn("_b", F.explode(_blocks(F.col("q"), share, False))), "_b").where("i <> j")
-        if max_edit:
-            near = near.where(F.abs(F.length("p") - F.length("q")) <= max_edit)
+    if max_edit:
+        near = left.withColumn("_b", F.explode(F.sequence(F.length("p") - max_edit, F.length("p") + max_edit))).join(right.withColumn("_b", F.length("q")), "_b").where("i < j")
+    elif share > 0.05:
+        # the words are a column of their own: an expression would be split anew for every stretch
+        left = left.withColumn("_ts", words(F.col("p"))).withColumn("_b", F.explode(_blocks(F.col("_ts"), share, True))).drop("_ts")
+        right = right.withColumn("_ts", words(F.col("q"))).withColumn("_b", F.explode(_blocks(F.col("_ts"), share, False))).drop("_ts")
+        near = left.join(right, "_b").where("i <> j")
         swap = F.col("i") > F.col("j")
         sides = [F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("i", "j"), ("j", "i"), ("p", "q"), ("q", "p"))]
         near = near.select(*sides).distinct()
-    elif max_edit:
-        near = left.withColumn("_b", F.explode(F.sequence(F.length("p") - max_edit, F.length("p") + max_edit))).join(right.withColumn("_b", F.length("q")), "_b").where("i < j")
     else:  # a similarity above 0 asks for a common word; 0 for nothing
         word = lambda c: F.explode(F.array_distinct(words(F.col(c)))) if threshold > 0 else F.lit(0)
         near = left.withColumn("_b", word("p")).join(right.withColumn("_b", word("q")), "_b").where("i < j").select("i", "j", "p", "q").distinct()
