@@ -399,7 +399,7 @@ for _old, _new in (("(p, ", "(acc, "), ("(q, ", "(nxt, ")):
 
 
 @query(f"""WITH RECURSIVE {_PATTERNS}, e AS (SELECT i, j FROM x WHERE {_PATTERN_SIM} >= 0.6 AND levenshtein(p, q) <= 3),
-  g AS (SELECT i, list(j ORDER BY j) AS js, row_number() OVER (ORDER BY i) AS k FROM e GROUP BY i),
+  g AS MATERIALIZED (SELECT i, list(j ORDER BY j) AS js, row_number() OVER (ORDER BY i) AS k FROM e GROUP BY i),
   w AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS used, NULL::BIGINT AS leader, []::BIGINT[] AS taken
     UNION ALL SELECT g.k, CASE WHEN list_contains(w.used, g.i) THEN w.used ELSE list_concat(w.used, g.js) END, g.i,
       CASE WHEN list_contains(w.used, g.i) THEN [] ELSE list_filter(g.js, lambda y: NOT list_contains(w.used, y)) END FROM w JOIN g ON g.k = w.k + 1),
