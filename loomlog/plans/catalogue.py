@@ -750,11 +750,8 @@ def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _drained(df: DataFrame, mode: str) -> DataFrame:
-    """All that the stream yields, through an in-memory table."""
-    name = f"loomlog_stream_{uuid.uuid4().hex}"
-    running = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    running.awaitTermination()
-    return df.sparkSession.table(name)
+    """All that the stream yields, through a table in the shared folder."""
+    return stream.drained(df, mode, _folder(df.sparkSession))
 
 
 #: The pattern of a streamed line; numbers of four digits and more are masked by the cleaner already.

@@ -354,3 +354,19 @@ def test_evicted(spark):
 
     rows = spark.createDataFrame([(f"m{i}", i) for i in range(5)], "log_md5 string, accessed_at bigint")
     assert {r.log_md5 for r in evicted(rows, 2).collect()} == {"m3", "m4"}
+
+
+@pytest.mark.parametrize("files_at_once", [1, 10])
+def test_drained_streams_lie_in_files(spark, tmp_path, files_at_once):
+    from loomlog.plans.catalogue import _drained
+    from loomlog.streaming import stream
+
+    for k in range(3):  # a line an hour of three users; the second file says again what the first said at its end
+        rows = [(u, f"line {(k * 5 + h) % 12} of {u}", f"2024-01-0{k + 1} 0{h}:00:00") for u in range(3) for h in range(5)]
+        spark.createDataFrame(rows, "user_id bigint, content string, ts string").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    lines = spark.readStream.schema("user_id bigint, content string, ts timestamp").option("maxFilesPerTrigger", files_at_once).parquet(f"{tmp_path}/in")
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    sessions = _drained(stream.sessions(lines, "user_id", gap="2 hours", late="30 days"), "complete")
+    assert sorted((r.user_id, r.start.day, r["count"]) for r in sessions.collect()) == [(u, d, 5) for u in range(3) for d in (1, 2, 3)]
+    assert sessions.inputFiles()  # and not in the driver's memory
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
