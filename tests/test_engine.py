@@ -368,5 +368,9 @@ def test_drained_streams_lie_in_files(spark, tmp_path, files_at_once):
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     sessions = _drained(stream.sessions(lines, "user_id", gap="2 hours", late="30 days"), "complete")
     assert sorted((r.user_id, r.start.day, r["count"]) for r in sessions.collect()) == [(u, d, 5) for u in range(3) for d in (1, 2, 3)]
-    assert sessions.inputFiles()  # and not in the driver's memory
+    fresh = _drained(stream.without_repeats(lines, late="30 days"), "append")
+    assert sorted(r.content for r in fresh.collect()) == sorted(f"line {n} of {u}" for u in range(3) for n in range(12))
+    assert sessions.inputFiles() and fresh.inputFiles()  # and not in the driver's memory
+    nothing = _drained(stream.without_repeats(lines.where("user_id > 9"), late="30 days"), "append")
+    assert nothing.columns == lines.columns and nothing.count() == 0
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
