@@ -5,6 +5,9 @@ it, however frequent it is, so there are at most two links for each line of a do
 linked pair is aligned by patience diff: lines unique on both sides anchor the longest increasing run, and the stretches between
 anchors are aligned in the same way; where a stretch has no such line, its rarest common one and its equal neighbours are taken.
 Aligned lines are deleted from the later document.  Blank lines are neither compared nor deleted.
+
+A line that the first two do not align may be aligned with a later holder, so with whole=True what is left of every document is
+aligned with all other earlier holders of its lines: the lines deleted are those of an alignment with all earlier documents.
 """
 
 from __future__ import annotations
@@ -122,20 +125,14 @@ def pairs(lists: DataFrame) -> DataFrame:
     return out
 
 
-def removals(docs: DataFrame) -> DataFrame:
-    """d, t (see line_lists()), n_lines (not empty), removed: sorted places of the lines to delete, counted over lines that are not empty, and
-    olds: the doc_ids they are aligned with.  A row for each document: rows alike in doc_id and text are one, which is no copy of itself.
-
-    Earlier is: of smaller doc_id, null before all, or of the same and a smaller hash of the text.  Null texts have no lines.
-    """
+def _hits(lists: DataFrame, found: DataFrame) -> DataFrame:
+    """nd, nt, od, places: what each linked pair aligns.  Both are read twice: pass kept tables."""
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             places = [aligned(o, n) for o, n in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], list_array(pa.array(np.concatenate([np.zeros(0, np.int64), *places])), np.cumsum([0, *map(len, places)]))], ["nd", "nt", "od", "places"])
 
-    lists = kept(line_lists(docs).dropDuplicates(["d", "t"]))
-    found = pairs(lists)
     olds = kept(found.groupBy("od", "ot").agg(F.count(F.lit(1)).alias("_n")))
     total = olds.agg(F.sum("_n")).first()[0] or 0
     salt = lambda n: F.floor(n / LINKS).cast("int")
@@ -143,17 +140,64 @@ def removals(docs: DataFrame) -> DataFrame:
     old = lists.join(olds, (lists.d == olds.od) & (lists.t == olds.ot)).select("od", "ot", F.col("lines").alias("lo"), F.explode(F.sequence(F.lit(0), salt(F.col("_n")))).alias("_salt"))
     new = lists.select(F.col("d").alias("nd"), F.col("t").alias("nt"), F.col("lines").alias("ln"))
     both = asked.drop("_n").join(old, ["od", "ot", "_salt"]).join(new, ["nd", "nt"])
-    hits = both.select("nd", "nt", "od", "lo", "ln").mapInArrow(align, "nd long, nt long, od long, places array<long>").where(F.size("places") > 0)
+    return both.select("nd", "nt", "od", "lo", "ln").mapInArrow(align, "nd long, nt long, od long, places array<long>").where(F.size("places") > 0)
+
+
+def _left(lines, removed):
+    """Places (columns) of lines that are neither blank nor removed."""
+    at = F.filter(F.transform(lines, lambda x, i: F.when(x != 0, i.cast("long"))), lambda i: i.isNotNull())
+    return F.array_except(at, removed)
+
+
+def _rest(lists: DataFrame, found: DataFrame, hits: DataFrame) -> DataFrame:
+    """nd, nt, od, places as of _hits(): what alignments with earlier documents beyond those of `found` add to hits.
+
+    A copy of an earlier document loses all its lines.  So only the first documents of their classes are left, and an earlier copy
+    of one aligns nothing that the first does not.  Each goes with every earlier one that has a line it still holds.
+    """
+    none = F.array().cast("array<long>")
+    classed = kept(lists.select("d", "t", "lines", F.xxhash64("lines").alias("c"), F.xxhash64(F.lit(1), "lines").alias("e")))
+    classes = kept(classed.groupBy("c", "e").agg(F.min(F.struct("d", "t")).alias("o"), F.count(F.lit(1)).alias("_n")).select("c", "e", F.col("o.d").alias("od"), F.col("o.t").alias("ot"), "_n"))
+    repeated = classes.where("_n > 1")
+    total = repeated.agg(F.sum("_n")).first()[0] or 0
+    copies = spread_join(classed, repeated, ["c", "e"], "_n", total).where("d <> od or t <> ot")
+    copies = copies.select(F.col("d").alias("nd"), F.col("t").alias("nt"), "od", _left(F.col("lines"), none).alias("places")).where(F.size("places") > 0)
+    firsts = kept(classed.join(classes.select(F.col("od").alias("d"), F.col("ot").alias("t")), ["d", "t"]).select("d", "t", "lines"))
+
+    gone = hits.groupBy(F.col("nd").alias("d"), F.col("nt").alias("t")).agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("removed"))
+    left = firsts.join(gone, ["d", "t"], "left").withColumn("_left", _left(F.col("lines"), F.coalesce("removed", none)))
+    values = F.array_distinct(F.transform("_left", lambda i: F.element_at("lines", (i + 1).cast("int"))))
+    wanted = left.select(F.col("d").alias("nd"), F.col("t").alias("nt"), F.explode(values).alias("line"))
+    holders = firsts.select(F.col("d").alias("od"), F.col("t").alias("ot"), F.explode(F.array_distinct("lines")).alias("line")).where("line <> 0")
+    earlier = (F.col("od") < F.col("nd")) | ((F.col("od") == F.col("nd")) & (F.col("ot") < F.col("nt")))
+    more = wanted.join(holders, "line").where(earlier).select("od", "ot", "nd", "nt").distinct()
+    more = kept(more.join(found, ["od", "ot", "nd", "nt"], "left_anti"))
+    return _hits(firsts, more).unionByName(copies)
+
+
+def removals(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """d, t (see line_lists()), n_lines (not empty), removed: sorted places of the lines to delete, counted over lines that are not empty, and
+    olds: the doc_ids they are aligned with.  A row for each document: rows alike in doc_id and text are one, which is no copy of itself.
+
+    Earlier is: of smaller doc_id, null before all, or of the same and a smaller hash of the text.  Null texts have no lines.
+    whole: what the first two holders of its lines leave of a document is aligned with all other earlier holders too.
+    """
+    lists = kept(line_lists(docs).dropDuplicates(["d", "t"]))
+    found = pairs(lists)
+    hits = _hits(lists, found)
+    if whole:
+        hits = kept(hits)
+        hits = hits.unionByName(_rest(lists, found, hits))
     gone = hits.groupBy("nd", "nt").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("removed"), F.array_sort(F.collect_set(F.when(F.col("od") != _NULL, F.col("od")))).alias("olds"))
     none = F.array().cast("array<long>")
     joined = lists.join(gone, (lists.d == gone.nd) & (lists.t == gone.nt), "left")
     return joined.select("d", "t", F.size("lines").cast("long").alias("n_lines"), F.coalesce("removed", none).alias("removed"), F.coalesce("olds", none).alias("olds"))
 
 
-def applied(docs: DataFrame) -> DataFrame:
+def applied(docs: DataFrame, whole: bool = False) -> DataFrame:
     """doc_id, n_lines, removed, olds of every row of docs, repeated rows included: see removals()."""
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"))
-    return rows.join(removals(docs), ["d", "t"]).select("doc_id", "n_lines", "removed", "olds")
+    return rows.join(removals(docs, whole), ["d", "t"]).select("doc_id", "n_lines", "removed", "olds")
 
 
 def without(text, removed):
@@ -166,5 +210,5 @@ def without(text, removed):
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op6: doc_id, n_lines, n_removed, removed, olds of every document."""
-    out = applied(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    out = applied(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), whole=True)
     return out.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed", "olds")

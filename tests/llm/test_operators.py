@@ -500,6 +500,24 @@ def test_line_dedup_of_frequent_lines_beside_a_rarer_one(spark):
     assert got == {i: [] for i in range(80)} | {100: [0]} | {i: [0, 1, 2] for i in range(101, 180)}
 
 
+def test_line_dedup_beyond_the_first_two_holders(spark, tmp_path):
+    """The lines removed are those that an alignment with any earlier document removes, as the query returns them."""
+    rng = random.Random(4)
+    texts = ["b\na", "b\na", "own\na\nb", "a\nb", "x\na\n \nb\ny"]
+    texts += ["\n".join(rng.choice(["p", "q", "r", "s", " ", f"own {i}"]) for _ in range(rng.randint(0, 6))) for i in range(80)]
+    df = spark.createDataFrame([(None if i == 40 else i, t) for i, t in enumerate(texts)] + [(90, None), (91, "a\nb"), (91, "a\nb")], "doc_id bigint, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    number = {}
+    blank = lambda x: 0 if not x.strip() else number.setdefault(x, len(number) + 1)
+    listed = sorted({(-1 if r.doc_id is None else r.doc_id, tuple(blank(x) for x in (r.text or "").split("\n") if x)) for r in df.collect()})
+    want = {d: sorted({j for _, old in listed[:k] for j in line_dedup.aligned(old, new).tolist()}) for k, (d, new) in enumerate(listed)}
+    out = line_dedup.query(spark, str(tmp_path)).collect()
+    assert {-1 if r.doc_id is None else r.doc_id: r.removed for r in out} == want and len(out) == df.count()
+    assert want[3] == [0, 1]
+    few = {-1 if r.doc_id is None else r.doc_id: r.removed for r in line_dedup.applied(df).collect()}
+    assert any(len(few[d]) < len(x) for d, x in want.items())  # the first two holders do not remove all of them
+
+
 # ---------------------------------------------------------------- 7
 
 
