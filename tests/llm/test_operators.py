@@ -518,6 +518,34 @@ def test_line_dedup_beyond_the_first_two_holders(spark, tmp_path):
     assert any(len(few[d]) < len(x) for d, x in want.items())  # the first two holders do not remove all of them
 
 
+@pytest.mark.parametrize("few", [0, 2, 5, 20])
+def test_line_dedup_by_kinds_against_brute_force(spark, monkeypatch, few):
+    """The same lines go whether documents meet in pairs, by their kinds or both, next to rare lines, blank ones and copies."""
+    monkeypatch.setattr(line_dedup, "FEW", few)
+    rng = random.Random(20)
+    say = lambda i: rng.choice(["p", "q", "r", "p", "q", " ", f"rare {rng.randrange(25)}", f"own {i}"])
+    texts = ["\n".join(say(i) for _ in range(rng.randint(0, 9))) for i in range(90)]
+    texts += [texts[i] for i in (3, 3, 40)] + ["p\np\np\nrare 3", "rare 3\np\np\np\np"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    number = {}
+    blank = lambda x: 0 if not x.strip() else number.setdefault(x, len(number) + 1)
+    listed = [[blank(x) for x in t.split("\n") if x] for t in texts]
+    by = [{o: set(line_dedup.aligned(listed[o], new).tolist()) for o in range(k)} for k, new in enumerate(listed)]
+    got = {r.doc_id: r for r in line_dedup.applied(df, whole=True).collect()}
+    assert {d: r.removed for d, r in got.items()} == {k: sorted({j for x in hits.values() for j in x}) for k, hits in enumerate(by)}
+    for k, hits in enumerate(by):  # the documents named do align these lines
+        assert set(got[k].removed) == {j for o in got[k].olds for j in hits[o]} and all(hits[o] for o in got[k].olds)
+
+
+def test_line_dedup_of_lines_that_stay_in_many(spark, monkeypatch):
+    """A frequent line of which one place stays in every document does not pair off all its holders."""
+    met, hits = [], line_dedup._hits
+    monkeypatch.setattr(line_dedup, "_hits", lambda lists, found: met.append(found.count()) or hits(lists, found))
+    df = spark.createDataFrame([(i, "x" if i < 2 else f"x\nown {i}\nx") for i in range(80)] + [(90, "a\nx\nb\nx\nc")], "doc_id bigint, text string")
+    got = {r.d: r.removed for r in line_dedup.removals(df, whole=True).collect()}
+    assert got == {0: [], 1: [0], 2: [0]} | {i: [0, 2] for i in range(3, 80)} | {90: [1, 3]} and sum(met) < 200
+
+
 # ---------------------------------------------------------------- 7
 
 
