@@ -13,8 +13,9 @@ all trees, are families; within a family all links between different components
 link is found if its ends share a prefix of RUN values in any order.  The first RUN values of the orders are disjoint, hence a pair at
 similarity 0.8 shares none with probability (1 - 0.8 ** 3) ** 24 = 3e-8, and in sparse regions (1 - 0.8 ** 2) ** 24 = 2e-11.
 
-Candidates must be alike in size first.  They are verified on full sets: each node's best candidate, then all candidates that join
-different components so far (a candidate within one component can't change a result), then the families.
+Candidates must be alike in size first, and parities() must not rule them out; neither drops a link.  They are verified on full sets: each
+node's best candidate, then all candidates that join different components so far (a candidate within one component can't change a
+result), then the families.  Only texts of documents that are asked for are dealt out (see marked()).
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlog.llm.common import LOWER, U64, Words, dropped, kept, list_array, mix, runs, shared_dir, shuffle_partitions, signed, slices, spread_join
+from loomlog.llm.common import LOWER, U64, Words, dropped, kept, list_array, mix, runs, shuffle_partitions, signed, slices, spread_join
 from loomlog.operators.components import components
 
 TREES, DEPTH, RUN, LEAST, NEAR = 24, 6, 3, 2, 3
@@ -34,6 +35,8 @@ TREES, DEPTH, RUN, LEAST, NEAR = 24, 6, 3, 2, 3
 VALUES = TREES * RUN
 #: Members of a family that meet one copy of its base.
 MEMBERS = 1000
+#: Rows (of 64 bits each) of the filter of ids that marked() broadcasts at most, whatever the input.
+MARKS = 1 << 17
 _TAKES = (RUN * np.arange(TREES)[:, None] + np.arange(DEPTH)) % VALUES
 _FACTORS = np.random.Generator(np.random.PCG64(42)).integers(1, 1 << 63, VALUES, dtype=np.uint64) * U64(2) + U64(1)
 
@@ -59,22 +62,61 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (least >> U64(32)).astype(">u4")
 
 
+def parities(shingles: np.ndarray) -> bytes:
+    """A bit for each residue of the hashes modulo a power of two from their number on, 64 at least: whether it has an odd number of them.
+
+    Two sets differ in at least as many shingles as their parities differ in bits.  The halves of a longer one, combined
+    by exclusive or, are the parities modulo half as much.
+    """
+    size = 1 << max(6, (len(shingles) - 1).bit_length())
+    return np.packbits(np.bincount((shingles & U64(size - 1)).astype(np.int64), minlength=size).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """In how many bits two parities differ, modulo the smaller of their sizes."""
+    a, b = (a, b) if len(a) >= len(b) else (b, a)
+    v, size = int.from_bytes(a, "little"), len(a)
+    while size > len(b):
+        size //= 2
+        v = (v >> 8 * size) ^ (v & (1 << 8 * size) - 1)
+    return (v ^ int.from_bytes(b, "little")).bit_count()
+
+
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n (size of the set), h1 and h2 (a 128-bit hash of the set), sig."""
+    """doc_id, n (size of the set), h1 and h2 (a 128-bit hash of the set), sig, parity."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for words in slices(batch.column(1), bytes_map=LOWER):
-                n, h1, h2, sig = [], [], [], []
+                n, h1, h2, sig, parity = [], [], [], [], []
                 for s in shingle_sets(words, k):
                     n.append(len(s))
                     h1.append(mix(s).sum(dtype=U64))
                     h2.append(mix(s ^ U64(0xA5A5A5A5A5A5A5A5)).sum(dtype=U64))
                     sig.append(signature(s).tobytes() if len(s) else b"")
+                    parity.append(parities(s) if len(s) else b"")
                 ids = batch.column(0).slice(words.first, len(words))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(signed(np.array(h1, U64))), pa.array(signed(np.array(h2, U64))), pa.array(sig, pa.binary())], ["doc_id", "n", "h1", "h2", "sig"])
+                hashes = (pa.array(signed(np.array(h, U64))) for h in (h1, h2))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), *hashes, *(pa.array(c, pa.binary()) for c in (sig, parity))], ["doc_id", "n", "h1", "h2", "sig", "parity"])
+
+    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, n long, h1 long, h2 long, sig binary, parity binary")
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, n long, h1 long, h2 long, sig binary")
+
+def marked(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """rows (doc_id, ...) with maybe: false only if doc_id is none of ids (doc_id).
+
+    What is sure to meet nothing need not be dealt out for a join.  The filter has a bit for each id and MARKS rows at most, so it is
+    broadcast for any input; ids that share a bit are left to the join that follows.
+    """
+    word, bit = F.expr(f"xxhash64(doc_id) & {MARKS - 1}L"), F.expr("shiftleft(1L, cast(shiftright(xxhash64(doc_id), 32) & 63 as int))")
+    marks = ids.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_marks"))
+    found = rows.withColumn("_word", word).join(F.broadcast(marks), "_word", "left")
+    return found.withColumn("maybe", F.coalesce(F.col("_marks").bitwiseAND(bit) != 0, F.lit(False))).select(*rows.columns, "maybe")
+
+
+def _asked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, text of the documents that may be among ids (doc_id)."""
+    return marked(docs.select("doc_id", "text"), ids).where("maybe").drop("maybe")
 
 
 def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,74 +133,131 @@ def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([ids, size, pa.Array.from_buffers(pa.binary(), n * TREES, [None, offsets, pa.py_buffer(keys.tobytes())])], ["doc_id", "n", "key"])
 
 
-def _neighbours(after: dict[int, list], percent: int):
-    """Pairs of rows at most NEAR apart in their order that share a tree and a prefix of LEAST values, and are alike in size.
+_WIDTH, _FAR = 4 * DEPTH + 1, NEAR + 1
+_NEAR = "x long, y long, common int, part int, at int, n long, key binary"
+
+#: Consecutive rows of an order: doc_id, n, key.
+_Rows = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _rows(ids: np.ndarray, size: np.ndarray, keys: list[bytes]) -> _Rows:
+    return ids, size, np.frombuffer(b"".join(keys), np.uint8).reshape(-1, _WIDTH)
+
+
+def _joined(a: _Rows, b: _Rows) -> _Rows:
+    return tuple(np.concatenate(c) for c in zip(a, b, strict=True))
+
+
+def _seen(rows: _Rows, old: int, to: int, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """x, y, common of pairs of a row before `to` and a later one from `old` on, NEAR apart at most, that share a tree and a prefix of
+    LEAST values, and are alike in size.
 
     Besides, with common 0, a chain through each run of more than NEAR + 1 rows that share a prefix of RUN values.
-    after: of each partition the first rows after it.
     """
-    width, far = 4 * DEPTH + 1, NEAR + 1
+    ids, size, keys = rows
+    values = np.ascontiguousarray(keys[:, 1:]).view(np.uint32)
 
-    def pairs(ids: np.ndarray, a: np.ndarray, b: np.ndarray, common: np.ndarray) -> pa.RecordBatch:
+    def pairs(a: np.ndarray, b: np.ndarray, common: np.ndarray):
         x, y = ids[a], ids[b]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(common.astype(np.int32))], ["x", "y", "common"])
-
-    def seen(ids: np.ndarray, size: np.ndarray, keys: np.ndarray, old: int, to: int) -> Iterator[pa.RecordBatch]:
-        """Pairs of a row before `to` and a later one from `old` on."""
-        values = np.ascontiguousarray(keys[:, 1:]).view(np.uint32)
-        for j in range(1, far + 1):
-            if len(ids) <= j:
-                break
-            same = np.concatenate([keys[j:, :1] == keys[:-j, :1], values[j:] == values[:-j]], 1)
-            common = np.logical_and.accumulate(same, 1).sum(1) - 1
-            fresh = (np.arange(len(common)) + j >= old) & (np.arange(len(common)) < to)
-            if j < far:
-                alike = 100 * np.minimum(size[j:], size[:-j]) >= percent * np.maximum(size[j:], size[:-j])
-                at = np.flatnonzero(fresh & (common >= LEAST) & alike)
-                yield pairs(ids, at, at + j, common[at])
-            else:
-                long = common >= RUN
-                starts = np.flatnonzero(long & ~np.concatenate([[False], long[:-1]]) & fresh)
-                at = np.concatenate([np.flatnonzero(long & fresh) + NEAR, *(starts + i for i in range(NEAR))])
-                yield pairs(ids, at, at + 1, np.zeros(len(at)))
+        return np.minimum(x, y), np.maximum(x, y), common.astype(np.int32)
+
+    for j in range(1, _FAR + 1):
+        if len(ids) <= j:
+            break
+        same = np.concatenate([keys[j:, :1] == keys[:-j, :1], values[j:] == values[:-j]], 1)
+        common = np.logical_and.accumulate(same, 1).sum(1) - 1
+        fresh = (np.arange(len(common)) + j >= old) & (np.arange(len(common)) < to)
+        if j < _FAR:
+            alike = 100 * np.minimum(size[j:], size[:-j]) >= percent * np.maximum(size[j:], size[:-j])
+            at = np.flatnonzero(fresh & (common >= LEAST) & alike)
+            yield pairs(at, at + j, common[at])
+        else:
+            long = common >= RUN
+            starts = np.flatnonzero(long & ~np.concatenate([[False], long[:-1]]) & fresh)
+            at = np.concatenate([np.flatnonzero(long & fresh) + NEAR, *(starts + i for i in range(NEAR))])
+            yield pairs(at, at + 1, np.zeros(len(at)))
+
+
+def _neighbours(percent: int):
+    """Pairs within a partition, as _NEAR without part; besides, its first and last NEAR + 1 rows, at from 0 up and from -1 down, with doc_id as x."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, size, keys, part = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, width), np.uint8), None
+        def table(x: np.ndarray, *more: pa.Array) -> pa.RecordBatch:
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+            columns = [pa.array(x, pa.int64()), *more]
+            return pa.RecordBatch.from_arrays([c if c is not None else pa.nulls(len(x), t) for c, t in zip(columns, types, strict=True)], ["x", "y", "common", "part", "at", "n", "key"])
 
-        def grown(more_ids, more_size, more_keys):
-            more = np.frombuffer(b"".join(more_keys), np.uint8).reshape(-1, width)
-            return np.concatenate([ids[-far:], more_ids]), np.concatenate([size[-far:], more_size]), np.concatenate([keys[-far:], more])
+        def border(some: _Rows, at: np.ndarray) -> pa.RecordBatch:
+            return table(some[0], None, None, pa.array([part] * len(at), pa.int32()), pa.array(at, pa.int32()), pa.array(some[1], pa.int64()), pa.array([k.tobytes() for k in some[2]], pa.binary()))
 
+        last, part, count = _rows(np.zeros(0, np.int64), np.zeros(0, np.int64), []), None, 0
         for batch in batches:
             if batch.num_rows:
-                old, part = min(len(ids), far), batch.column(3)[0].as_py()
-                ids, size, keys = grown(batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist())
-                yield from seen(ids, size, keys, old, len(ids))
-        rest = after.get(part, [])
-        if rest:
-            old = min(len(ids), far)
-            ids, size, keys = grown(np.array([r[0] for r in rest], np.int64), np.array([r[1] for r in rest], np.int64), [r[2] for r in rest])
-            yield from seen(ids, size, keys, old, old)
+                old, part = len(last[0]), batch.column(3)[0].as_py()
+                more = _rows(batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist())
+                if count < _FAR:
+                    first = tuple(c[: _FAR - count] for c in more)
+                    yield border(first, count + np.arange(len(first[0])))
+                count += batch.num_rows
+                window = _joined(last, more)
+                for x, y, common in _seen(window, old, len(window[0]), percent):
+                    yield table(x, pa.array(y), pa.array(common), None, None, None, None)
+                last = tuple(c[-_FAR:] for c in window)
+        if count:
+            yield border(last, np.arange(-len(last[0]), 0))
 
     return rows
 
 
+def _over_borders(borders: list, percent: int) -> list[tuple[int, int, int]]:
+    """x, y, common of the pairs that _neighbours() leaves: of rows in different partitions.  borders: its rows with a part."""
+    ends: dict[int, tuple[list, list]] = {}
+    for r in sorted(borders, key=lambda r: (r.part, r["at"])):
+        ends.setdefault(r.part, ([], []))[r["at"] < 0].append((r.x, r.n, bytes(r.key)))
+    found, following = [], []
+    for part in sorted(ends, reverse=True):
+        first, last = ends[part]
+        if following:
+            window = _rows(*(np.array(c, np.int64) for c in list(zip(*last, *following, strict=True))[:2]), [r[2] for r in (*last, *following)])
+            for pairs in _seen(window, len(last), len(last), percent):
+                found += zip(*(c.tolist() for c in pairs), strict=True)
+        following = [*first, *following][:_FAR]
+    return found
+
+
 def candidates(nodes: DataFrame, percent: int = 80) -> DataFrame:
-    """x < y, weight (sum of common prefixes) of neighbouring nodes, dense (linked by a run of more than NEAR + 1).  nodes: doc_id, n, sig."""
+    """x < y, weight (sum of common prefixes) of neighbouring nodes, dense (linked by a run of more than NEAR + 1); a kept table.  nodes: doc_id, n, sig.
+
+    The orders themselves, by far the longest table here, are read once, as they are sorted, and not kept: what is wanted are their pairs and
+    the 2 * (NEAR + 1) rows at the ends of each partition, which do not grow with the documents.
+    """
     spark = nodes.sparkSession
-    shared_dir(spark)
     forest = nodes.select("doc_id", "n", "sig").mapInArrow(_orders, "doc_id long, n long, key binary")
-    forest = forest.repartitionByRange(shuffle_partitions(spark), "key", "doc_id").sortWithinPartitions("key", "doc_id").withColumn("part", F.spark_partition_id()).checkpoint()
-    # NEAR + 1 rows of each partition: a bound that does not grow with the documents
-    first = forest.withColumn("at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).where(F.col("at") <= NEAR).collect()
-    first.sort(key=lambda r: (r.part, r["at"]))
-    after: dict[int, list] = {}
-    following: list = []
-    for r in reversed(first):
-        after.setdefault(r.part, following)
-        following = [(r.doc_id, r.n, bytes(r.key)), *following][: NEAR + 1]
-    near = forest.mapInArrow(_neighbours(after, percent), "x long, y long, common int").where("x <> y")
-    return near.groupBy("x", "y").agg(F.sum("common").alias("weight"), (F.min("common") == 0).alias("dense"))
+    forest = forest.repartitionByRange(shuffle_partitions(spark), "key", "doc_id").sortWithinPartitions("key", "doc_id").withColumn("part", F.spark_partition_id())
+    near = kept(forest.mapInArrow(_neighbours(percent), _NEAR))
+    over = spark.createDataFrame(_over_borders(near.where("part is not null").collect(), percent), "x long, y long, common int")
+    pairs = near.where("part is null").select("x", "y", "common").union(over).where("x <> y")
+    out = kept(pairs.groupBy("x", "y").agg(F.sum("common").alias("weight"), (F.min("common") == 0).alias("dense")))
+    dropped(near)
+    return out
+
+
+def plausible(pairs: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
+    """The pairs (x, y, ...) whose parities leave them a similarity of percent, in any of their rows in sig (doc_id, n, parity).
+
+    With sets of m and n shingles of which d are in one only, 100 * intersection >= percent * union is the same as
+    (100 + percent) * d <= (100 - percent) * (m + n), and d is at least what the parities differ in: no link is dropped.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = batch.column(batch.num_columns - 4).to_numpy() + batch.column(batch.num_columns - 2).to_numpy()
+            d = np.array([differing(a, b) for a, b in zip(*(batch.column(batch.num_columns - i).to_pylist() for i in (3, 1)), strict=True)], np.int64)
+            yield batch.select(range(batch.num_columns - 4)).filter(pa.array((100 + percent) * d <= (100 - percent) * size))
+
+    of = lambda side: sig.where("n > 0").select(F.col("doc_id").alias(side), F.col("n").alias(f"n{side}"), F.col("parity").alias(f"p{side}"))
+    both = pairs.join(of("x"), "x").join(of("y"), "y").select(*pairs.columns, "nx", "px", "ny", "py")
+    return both.mapInArrow(rows, pairs.schema).distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -176,6 +275,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
                 yes.append(both > 0 and 100 * both >= percent * (len(a) + len(b) - both))
             yield batch.select([0, 1]).filter(pa.array(yes, pa.bool_()))
 
+    docs = _asked(docs, pairs.select(F.explode(F.array("x", "y")).alias("doc_id")))
     one = docs.select(F.col("doc_id").alias("x"), F.col("text").alias("tx"))
     two = docs.select(F.col("doc_id").alias("y"), F.col("text").alias("ty"))
     return pairs.select("x", "y").join(one, "x").join(two, "y").select("x", "y", "tx", "ty").mapInArrow(linked, "x long, y long").distinct()
@@ -216,6 +316,7 @@ def completed(families: DataFrame, docs: DataFrame, k: int, percent: int) -> Dat
     mixed, families = kept(mixed), kept(families)
     nodes = mixed.agg(F.sum("m")).first()[0] or 0
     members = spread_join(families, mixed, ["family"], "m", nodes)
+    docs = _asked(docs, members.select(F.col("node").alias("doc_id")))
     sets = kept(_sets(members.select("node", "family", "comp").join(docs.withColumnRenamed("doc_id", "node"), "node"), k).withColumn("id", F.monotonically_increasing_id()))
     sizes = kept(sets.groupBy("family").agg(F.count(F.lit(1)).alias("m")))
     nodes = sizes.agg(F.sum("m")).first()[0] or 0
@@ -261,15 +362,15 @@ def classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     sig = kept(signatures(docs, k))
     groups = sig.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"))
     groups = kept(groups)
-    near = kept(candidates(groups.where("node is not null").select(F.col("node").alias("doc_id"), "n", "sig"), percent))
-    pairs, runs_of = near.where("weight > 0").select("x", "y", "weight"), near.where("dense").select(F.col("x").alias("u"), F.col("y").alias("v"))
+    near = candidates(groups.where("node is not null").select(F.col("node").alias("doc_id"), "n", "sig"), percent)
+    pairs, runs_of = kept(plausible(near.where("weight > 0").select("x", "y", "weight"), sig, percent)), near.where("dense").select(F.col("x").alias("u"), F.col("y").alias("v"))
     ends = pairs.select("x", "y", "weight", F.col("x").alias("at")).union(pairs.select("x", "y", "weight", F.col("y").alias("at")))
     best = ends.groupBy("at").agg(F.max_by(F.struct("x", "y"), F.struct("weight", -F.col("x"), -F.col("y"))).alias("p")).select("p.x", "p.y").distinct()
     best = kept(best)
     links = kept(verified(best, docs, k, percent))
     label = components(links.select(F.col("x").alias("u"), F.col("y").alias("v")))
     rest = kept(_apart(pairs, label).select("x", "y").join(best, ["x", "y"], "left_anti"))
-    spent = [near, best, rest, links, label]
+    spent = [near, pairs, best, rest, links, label]
     links = kept(links.union(verified(rest, docs, k, percent)))
     label = components(links.select(F.col("x").alias("u"), F.col("y").alias("v")))
     if not runs_of.isEmpty():
@@ -289,15 +390,16 @@ def classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 def stage(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One document of each class: that of the least doc_id, once if it has several rows (that of the least hash of the text).  Rows
-    without doc_id stay.  Only the texts of doc_ids with several rows are dealt anew."""
+    without doc_id stay.  Only the texts of doc_ids that go or have several rows are dealt anew, and few others (see marked())."""
     gone = kept(classes(docs, k, percent).where("doc_id <> component_id").select("doc_id").distinct())
     repeated = kept(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     names = docs.columns
-    rows = docs.join(gone, "doc_id", "left_anti")
+    all_rows = marked(docs, gone.union(repeated))
+    rows = all_rows.where("maybe").drop("maybe").join(gone, "doc_id", "left_anti")
     once = rows.join(repeated, "doc_id", "left_anti").select(*names)
     numbered = rows.join(repeated, "doc_id", "left_semi").select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_t"))
     least = numbered.groupBy("_d").agg(F.min_by(F.struct(*(f"c{i}" for i in range(len(names)))), "_t").alias("r"))
-    return once.unionByName(least.select(*(F.col(f"r.c{i}").alias(c) for i, c in enumerate(names))))
+    return all_rows.where("not maybe").select(*names).unionByName(once).unionByName(least.select(*(F.col(f"r.c{i}").alias(c) for i, c in enumerate(names))))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -709,6 +709,59 @@ def test_near_dedup(spark, docs, data):
     assert len(lost) == len(data[0]) and all(r.component_id is None for r in lost)
 
 
+def test_parities_never_rule_out_a_link(spark):
+    """Sets of 1 to 600 shingles at similarities all over, sizes on both sides of a power of two: no link is dropped, few others stay."""
+    rng = np.random.default_rng(3)
+    sets, pairs, links = [], [], set()
+    for n in (1, 4, 5, 9, 63, 64, 65, 127, 130, 257, 300, 600):
+        for share in (0.0, 0.5, 0.75, 0.79, 0.8, 0.81, 0.9, 1.0):
+            a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            both = round(n * 2 * share / (1 + share))
+            b = np.unique(np.concatenate([a[:both], rng.integers(0, 1 << 63, n - both, dtype=np.uint64)]))[: n if n % 2 else None]
+            x, d = len(sets), len(np.setxor1d(a, b))
+            assert near_dedup.differing(near_dedup.parities(a), near_dedup.parities(b)) <= d
+            sets += [a, b]
+            pairs.append((x, x + 1))
+            common = len(np.intersect1d(a, b))
+            if 100 * common >= 80 * (len(a) + len(b) - common):
+                links.add((x, x + 1))
+    long, short = rng.integers(0, 1 << 63, 1025, dtype=np.uint64), rng.integers(0, 1 << 63, 1, dtype=np.uint64)
+    assert 0 < near_dedup.differing(near_dedup.parities(short), near_dedup.parities(long)) <= 1026
+    sig = spark.createDataFrame([(i, len(v), near_dedup.parities(v)) for i, v in enumerate(sets)], "doc_id long, n long, parity binary")
+    left = {(r.x, r.y) for r in near_dedup.plausible(spark.createDataFrame(pairs, "x long, y long"), sig, 80).collect()}
+    assert len(links) > 30 and links <= left
+    assert not left & {(x, y) for x, y in pairs if len(sets[x]) > 60 and not len(np.intersect1d(sets[x], sets[y]))}
+
+
+def test_marks_are_sure_of_what_is_not_asked_for(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "MARKS", 64)
+    rows = spark.createDataFrame([(None if i == 0 else i, f"t{i}") for i in range(5000)], "doc_id long, text string")
+    for ids in (set(), {7}, set(range(1, 5000, 5))):
+        got = near_dedup.marked(rows, spark.createDataFrame([(i,) for i in [*ids, *ids]], "doc_id long")).collect()
+        assert len(got) == 5000 and {r.doc_id for r in got if r.maybe} >= ids
+        assert sum(r.maybe for r in got) <= 2 * len(ids) + 5
+
+
+def test_near_dedup_leaves_its_orders_nowhere_and_moves_few_texts(spark):
+    """Of 400 texts, two are alike and the others pass for candidates at most by chance: only the texts of a few are dealt out."""
+    from pathlib import Path
+
+    from loomlog.operators.tables import shared_dir
+
+    rng = random.Random(8)
+    text = [" ".join(f"w{rng.randrange(3000)}" for _ in range(120)) for _ in range(400)]
+    text[9] = text[4] + " end"
+    docs = spark.createDataFrame(list(enumerate(text)), "doc_id long, text string")
+    shared = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(shared.rglob("rdd-*"))
+    assert {r.doc_id for r in near_dedup.classes(docs, 4, 80).where("doc_id <> component_id").collect()} == {9}
+    assert set(shared.rglob("rdd-*")) == before
+    asked = spark.createDataFrame([(4, 9)], "x long, y long")
+    ids = asked.select(F.explode(F.array("x", "y")).alias("doc_id"))
+    assert {4, 9} <= {r.doc_id for r in near_dedup._asked(docs, ids).collect()} and near_dedup._asked(docs, ids).count() < 10
+    assert [tuple(r) for r in near_dedup.verified(asked, docs, 4, 80).collect()] == [(4, 9)]
+
+
 # ---------------------------------------------------------------- 9
 
 
